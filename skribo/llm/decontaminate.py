@@ -20,11 +20,12 @@ BROADCAST_WORDS = 50_000
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """item_id, q (a word's place), word, around (2 * width - 1 words with it in the middle, null beyond the ends), least (words a run must have)."""
+    """item_id, item (a hash of id and words), q (a word's place), word, around (2 * width - 1 words with it in the middle, null beyond the ends), least (words a run must have)."""
     w = F.col("w")
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     around = F.transform(F.sequence(F.lit(1 - width), F.lit(width - 1)), lambda k: F.when(F.col("q") + k >= 0, F.get(w, F.col("q") + k)))
-    return items.select("item_id", "w", F.posexplode("w").alias("q", "word")).select("item_id", "q", "word", F.size("w").alias("n"), F.least(F.size("w"), F.lit(width)).alias("least"), around.alias("around"))
+    items = items.select("item_id", F.xxhash64("item_id", "w").alias("item"), "w").dropDuplicates(["item"])
+    return items.select("item_id", "item", "w", F.posexplode("w").alias("q", "word")).select("item_id", "item", "q", "word", F.size("w").alias("n"), F.least(F.size("w"), F.lit(width)).alias("least"), around.alias("around"))
 
 
 def _prefixes(windows: DataFrame, df: DataFrame, width: int) -> DataFrame:
@@ -33,8 +34,8 @@ def _prefixes(windows: DataFrame, df: DataFrame, width: int) -> DataFrame:
     key = F.struct("df", "word", "q")
     # an item's window starting at s holds places s .. s + least - 1
     starts = F.sequence(F.greatest(F.lit(0), F.col("q") - F.col("least") + 1), F.least("q", F.col("n") - F.col("least")))
-    chosen = ranked.select("item_id", F.explode(starts).alias("s"), key.alias("key")).groupBy("item_id", "s").agg(F.min("key").alias("key")).select("item_id", F.col("key.q").alias("q")).distinct()
-    return windows.join(chosen, ["item_id", "q"], "left_semi")
+    chosen = ranked.select("item", F.explode(starts).alias("s"), key.alias("key")).groupBy("item", "s").agg(F.min("key").alias("key")).select("item", F.col("key.q").alias("q")).distinct()
+    return windows.join(chosen, ["item", "q"], "left_semi")
 
 
 def _pairs(split: DataFrame, benchmark: DataFrame, width: int, every: bool) -> DataFrame:
@@ -77,7 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 
     Null and empty texts have no words; an item without words has no window; an item with fewer than width words is
-    one window. Items that repeat an id count as one item, null ids are none. Rows of docs that repeat an id each keep
+    one window. Items that repeat an id count as one item, one without an id hits but isn't counted. Rows of docs that repeat an id each keep
     their own row; other columns are ignored whatever their names. An empty benchmark hits nothing.
     """
     pairs = _pairs(docs.select("doc_id", words(F.col("text")).alias("w")), benchmark, width, True)
@@ -102,8 +103,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
     """The rows of docs that hold no window of the benchmark, with all of their columns. Null texts hold none."""
     pairs = _pairs(docs.select("doc_id", words(F.col("text")).alias("w")), benchmark, width, False)
     bad = pairs.where(F.col("before") + F.col("after") + 1 >= F.col("least")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    rows = docs.select("*", F.xxhash64(words(F.col("text"))).alias("clean_hash"))
-    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("clean_hash") == F.col("bad_hash")), "left_anti").drop("clean_hash")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64(words(F.col("text"))).alias("row_hash"))
+    return rows.join(bad, F.col("row_id").eqNullSafe(F.col("bad_id")) & (F.col("row_hash") == F.col("bad_hash")), "left_anti").select("row.*")
 
 
 def covered(runs: Column) -> Column:

@@ -75,12 +75,13 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, ranges: int = RANGES) -> DataFram
 
 
 def sampled(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """The mix itself: the columns of docs, size, target and copy (1, 2, ...) for each time that a row is taken.
+    """The mix itself: the columns of docs for each time that a row is taken, with size, target and copy (1, 2, ...), which take the place of columns so named.
 
     Rows that repeat an id and text are one document, taken as often as all of them together.
     """
     plan = mix(docs, epochs).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.first("size").alias("size"), F.first("target").alias("target"))
     plan = plan.where("copies > 0").select(F.col("doc_id").alias("plan_id"), F.col("text_hash").alias("plan_hash"), "copies", "size", "target")
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
-    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("plan_id")) & (F.col("text_hash") == F.col("plan_hash")))
-    return taken.select(*docs.columns, "size", "target", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash")).dropDuplicates(["row_id", "row_hash"])
+    taken = rows.join(plan, F.col("row_id").eqNullSafe(F.col("plan_id")) & (F.col("row_hash") == F.col("plan_hash")))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("size", "target", "copy")]
+    return taken.select(*own, "size", "target", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -220,4 +220,5 @@ def copies(docs: DataFrame, size: int = WIDE_SHINGLE, bits: int = WIDE_BITS, blo
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs but for copies and near copies of documents with a smaller id; all columns are kept."""
     gone = copies(docs).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"))
+    return rows.join(gone, F.col("row_id") == F.col("gone_id"), "left_anti").select("row.*")

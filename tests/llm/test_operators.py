@@ -181,8 +181,8 @@ def test_mixing(spark, documents, whole):
     assert all(abs(taken[s] - wanted[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
     again = mixing.mix(frame(spark, rows[::-1])).collect()
     same([(r.doc_id, r.taken) for r in found], [(r.doc_id, r.taken) for r in again])
-    copies = mixing.sampled(frame(spark, rows))
-    assert sum(r["size"] for r in copies.select("size").collect()) == 0 or copies.columns[:2] == ["doc_id", "text"]
+    copies = mixing.sampled(frame(spark, rows)).groupBy("source").agg(F.sum("size").alias("taken")).collect()
+    same([r for r in copies if r[1]], [(s, n) for s, n in taken.items() if n])
     assert mixing.mix(frame(spark, rows).limit(0)).collect() == []
 
 
@@ -190,18 +190,18 @@ def test_mixing_prefers_quality(spark):
     rows = [(k, "good words here " * 5 if k % 2 else "### $$$ &&& *** %%% " * 3, "a" if k < 600 else "b") for k in range(1200)]
     found = mixing.mix(frame(spark, rows)).where("source = 'a'").collect()
     good, bad = (sum(r.copies for r in found if r.doc_id % 2 == k) for k in (1, 0))
-    assert good > 2 * bad > 0
+    assert good > 1.5 * bad > 0
 
 
 @pytest.mark.parametrize("whole", [False, True])
 def test_decontaminate(spark, documents, whole):
     rows = documents if whole else odd()
-    items = table("benchmark") if whole else [(1, "the CAT sat, on the mat and then the dog came by to see"), (2, "hello"), (3, ""), (4, None), (10, "nine ten eleven twelve one two three four five six seven"), (None, "hello world")]
+    items = table("benchmark") if whole else [(1, "the CAT sat, on the mat and then the dog came by to see"), (2, "hello"), (3, ""), (4, None), (10, "nine ten eleven twelve one two three four five six seven"), (None, "hello world"), (10, "a b c a b c a b c"), (1, "hello")]
     docs = frame(spark, rows)
     found = decontaminate.contaminated(docs, benchmark(spark, items)).collect()
     wanted = contamination([r[:2] for r in rows], [x for x in items if x[0] is not None])
     if not whole:  # an item without an id hits, but is not counted
-        wanted = [(i, n, max(h, 2 * (words(t) == ["hello", "world"])), *rest) for (i, n, h, *rest), (_, t, _) in zip(wanted, rows, strict=True)]
+        wanted = [(i, n, 2 if words(t) == ["hello", "world"] else h, *rest) for (i, n, h, *rest), (_, t, _) in zip(wanted, rows, strict=True)]
     same(found, wanted)
     clean = decontaminate.clean(docs, benchmark(spark, items))
     assert clean.columns == docs.columns
