@@ -244,22 +244,24 @@ def test_suffix_dedup_of_shared_passages(spark):
     same(suffix_dedup.without_repeats(frame(spark, rows)).select(*COLUMNS).collect(), repeats([r[:2] for r in rows]))
 
 
-def test_suffix_dedup_cuts_long_texts(spark, monkeypatch):
-    """In-process, with parts and folds so small that every text is cut and every fold emptied often."""
+@pytest.mark.parametrize("bucket_bytes", [1 << 26, 50])
+def test_suffix_dedup_cuts_long_texts(monkeypatch, bucket_bytes):
+    """In-process, with parts, folds and buckets so small that every text is cut, every fold emptied often, and large buckets passed on."""
     import pyarrow as pa
 
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket_bytes)
     monkeypatch.setattr(suffix_dedup, "PART", 150)
     monkeypatch.setattr(suffix_dedup, "FOLD", 100)
     rng = random.Random(6)
     texts = ["".join(rng.choice("abc") for _ in range(400)) for _ in range(4)]
     texts += [texts[0][50:350] + texts[1][:200], texts[2] + texts[2][10:200]]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array([t.encode() for t in texts])], names=["id", "hash", "text"])
-    sent = sorted((r for b in suffix_dedup._first_round(100, iter([batch])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    sent = sorted((r for b in suffix_dedup._first_round(100, 12, iter([batch])) for r in b.to_pylist()), key=lambda r: r["bucket"])
     found = [r for b in suffix_dedup._ranked(100, True, iter([pa.RecordBatch.from_pylist(sent, suffix_dedup._SENT)])) for r in b.to_pylist()]
     gone = [set() for _ in texts]
     doubts = [[r["packed"] for r in found if r["kind"] == 1 and r["id"] == k] for k in range(len(texts))]
     second = pa.RecordBatch.from_arrays([*batch.columns, pa.array(doubts, pa.list_(pa.int64()))], names=["id", "hash", "text", "doubt"]).take([k for k, d in enumerate(doubts) if d])
-    sent = sorted((r for b in suffix_dedup._second_round(100, iter([second])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+    sent = sorted((r for b in suffix_dedup._second_round(100, 12, iter([second])) for r in b.to_pylist()), key=lambda r: r["bucket"])
     found += [r for b in suffix_dedup._ranked(100, False, iter([pa.RecordBatch.from_pylist(sent, suffix_dedup._SENT)])) for r in b.to_pylist()]
     for r in found:
         if r["kind"] == 0:
