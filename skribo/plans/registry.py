@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""All queries of the library, by operator."""
+
+from skribo.plans import aggregates, joins, sets, sources, texts, windows  # noqa: F401
+from skribo.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
