@@ -7,20 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skribo.functions.text import fold, search_prefix
+from skribo.functions.text import fold, normalize_key, runs, search_prefix
 
 #: Fixed values of the ranking function.
 K1, B, IDF_LEAST = 1.2, 0.75, 1e-6
 
 
-def tokens(text):
-    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-
-
 def query_prefixes(spark, query: str) -> list[str]:
     """The folded tokens of more than one letter, each cut to its search prefix."""
-    from skribo.functions.text import normalize_key
-
     row = spark.range(1).select(F.transform(F.filter(F.split(normalize_key(F.lit(query)), " "), lambda t: F.length(t) > 1), search_prefix).alias("p")).first()
     return list(dict.fromkeys(row["p"]))
 
@@ -30,7 +24,7 @@ def bm25(docs: DataFrame, key: str, text: str, prefixes: list[str], every: bool
 
     One pass counts each prefix in each row; the corpus totals are an aggregate of a row, joined back by broadcast.
     """
-    own = docs.select(F.col(key), tokens(F.col(text)).alias("t"))
+    own = docs.select(F.col(key), fold(F.coalesce(F.col(text), F.lit(""))).alias("folded")).select(key, runs(F.col("folded")).alias("t"))
 
     def hits(prefix: str) -> Column:
         return F.size(F.filter("t", lambda x: x.startswith(prefix)))

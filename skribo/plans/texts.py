@@ -75,7 +75,7 @@ _METRICS = f"""SELECT doc_id, text, length(text) AS chars, len(tokens) AS words,
 
 def metrics(docs):
     """Characters, words, letters with accents and distinct bad words of each document."""
-    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = X.runs(F.col("text"), underscore=True)
     accents = F.regexp_count("text", F.lit("[áäčďéíĺľňóôŕšťúýžÁÄČĎÉÍĹĽŇÓÔŔŠŤÚÝŽ]"))
     rows = docs.select("doc_id", "text", words.alias("tokens"), accents.cast("long").alias("diacritics"))
     bad = F.array_distinct(F.filter(F.transform("tokens", F.lower), lambda x: x.isin(*BAD_WORDS)))
