@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +46,17 @@ def write_relations(relations: dict[str, DataFrame], path: str) -> None:
     """One table a relation."""
     for name, rows in relations.items():
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), text of every line. A file's parts are numbered apart and shifted by the lines of the parts before."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select("file", "block", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return rows.join(shifts, ["file", "block"]).select("file", (F.col("at") - F.col("least") + F.col("shift") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='skribo-')}/{uuid.uuid4().hex}"
