@@ -1,14 +1,17 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
 Equal fingerprints are folded first. A fingerprint is split into distance + 2 blocks: two that differ in at most
-distance bits share two blocks at least, so fingerprints meet under every pair of their blocks. Those that meet are
-linked by a search that takes each fingerprint once and compares it with the ones not reached yet, so a group leaves
+distance bits share two blocks at least, so fingerprints meet under every pair of their blocks. A key under which more
+than HOT meet is split: two of them share one of distance + 1 blocks of the bits that the key leaves open, so they meet
+again under each of those. Distinct fingerprints run out of open bits, which bounds what a task compares. Those that
+meet are linked by a search that takes each fingerprint once and compares it with the ones not reached yet, so a group leaves
 as a tree, not as all of its pairs. Components follow by contracting the trees' edges, a few rounds of joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -22,6 +25,8 @@ from skribo.llm.common import checkpointed
 
 #: Words of a shingle, bits in which linked fingerprints may differ, seed of the hash.
 SHINGLE, DISTANCE, SEED = 3, 3, 42
+#: Fingerprints that meet under a key at most; hot keys up to which they are broadcast.
+HOT, BROADCAST_KEYS = 1 << 12, 50_000
 #: Shingles whose bits are counted at once.
 _AT_ONCE = 1 << 14
 #: For near copies by similarity: words of a shingle, bits of a fingerprint, bits of a block, and bits that may differ.
@@ -87,6 +92,13 @@ def block_masks(distance: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
+def narrower_masks(mask: int, distance: int) -> list[int]:
+    """The mask with each of distance + 1 blocks of its open bits added."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    n = distance + 1
+    return [mask | sum(1 << b for b in free[len(free) * k // n : len(free) * (k + 1) // n]) for k in range(n)]
+
+
 def _as_signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -150,12 +162,33 @@ def _linked(met: DataFrame, distance: int) -> DataFrame:
     return placed.mapInPandas(lambda batches: _edges(distance, batches), "u long, v long")
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """u, v: pairs of distinct fingerprints (column fp) that differ in at most distance bits, and connect all that such pairs connect."""
+def _meeting(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """block (a mask) and key for every fingerprint under every mask."""
+    signed = [F.lit(_as_signed(m)) for m in masks]
+    return fps.select("fp", F.explode(F.array(*signed)).alias("block")).select("fp", "block", F.col("fp").bitwiseAND(F.col("block")).alias("key"))
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """u, v: pairs of distinct fingerprints (column fp) that differ in at most distance bits, and connect all that such pairs connect.
+
+    Keys are counted first, partly before the shuffle. Splitting hot ones ends at keys with distance open bits.
+    """
+    fps, most = checkpointed(fps), max(hot, 1 << distance)
     masks = block_masks(distance)
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(_as_signed(m))).alias("key")) for k, m in enumerate(masks)]))
-    met = fps.select("fp", keys.alias("at")).select("at.block", "at.key", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
-    return _linked(met, distance)
+    met, parts = _meeting(fps, masks), []
+    while True:
+        crowded = checkpointed(met.groupBy("block", "key").count().where(F.col("count") > most).select("block", "key"))
+        found = [r["block"] for r in crowded.select("block").distinct().collect()]  # no more than there are masks
+        if not found:
+            break
+        side = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
+        parts.append(met.join(side, ["block", "key"], "left_anti"))
+        finer = [(m, _as_signed(x)) for m in found for x in narrower_masks(m % (1 << 64), distance)]
+        finer = F.broadcast(fps.sparkSession.createDataFrame(finer, "block long, finer long"))  # distance + 1 rows a mask
+        met = met.join(side, ["block", "key"], "left_semi").join(finer, "block").select("fp", F.col("finer").alias("block"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"))
+        met = checkpointed(met.distinct())
+    met = reduce(DataFrame.unionByName, [*parts, met])
+    return _linked(met.select("block", "key", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp")), distance)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -137,8 +137,9 @@ def test_simhash(spark, documents, whole):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).collect() == []
 
 
-def test_simhash_links_a_dense_ball(spark):
-    """Many fingerprints close to each other, in a chain and around a centre, and many far from all."""
+@pytest.mark.parametrize("hot", [simhash.HOT, 1, 40])
+def test_simhash_links_a_dense_ball(spark, hot):
+    """Many fingerprints close to each other, in a chain and around a centre, and many far from all; with keys that are split."""
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(300)]
     centre = rng.getrandbits(64)
@@ -146,10 +147,19 @@ def test_simhash_links_a_dense_ball(spark):
     for _ in range(40):
         fps.append(fps[-1] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     prints = spark.createDataFrame([(k, simhash._as_signed(f)) for k, f in enumerate(fps)], "doc_id long, fp long")
-    found = simhash.grouped(prints, simhash.links(prints.select("fp").distinct())).collect()
+    found = simhash.grouped(prints, simhash.links(prints.select("fp").distinct(), hot=hot)).collect()
     same([(r.doc_id, r.component_id) for r in found], enumerate(components(range(len(fps)), fps)))
 
 
+def test_simhash_splits_keys_by_what_they_leave_open():
+    for mask in simhash.block_masks(3):
+        while mask.bit_count() < 61:
+            finer = simhash.narrower_masks(mask, 3)
+            added = [m ^ mask for m in finer]
+            assert sum(added) == (1 << 64) - 1 - mask and all(m & mask == mask != m for m in finer)
+            mask = min(finer, key=int.bit_count)
+
+
 def test_near_copies_go(spark):
     rng = random.Random(4)
     texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for _ in range(60)]
