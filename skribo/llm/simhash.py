@@ -173,15 +173,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame
 
     Keys are counted first, partly before the shuffle. Splitting hot ones ends at keys with distance open bits.
     """
-    fps, most = checkpointed(fps), max(hot, 1 << distance)
-    masks = block_masks(distance)
-    met, parts = _meeting(fps, masks), []
+    most, met, parts = max(hot, 1 << distance), _meeting(fps, block_masks(distance)), []
     while True:
-        crowded = checkpointed(met.groupBy("block", "key").count().where(F.col("count") > most).select("block", "key"))
-        found = [r["block"] for r in crowded.select("block").distinct().collect()]  # no more than there are masks
+        crowded = met.groupBy("block", "key").count().where(F.col("count") > most).select("block", "key")
+        found = {r["block"]: r["count"] for r in crowded.groupBy("block").count().collect()}  # no more than there are masks
         if not found:
             break
-        side = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
+        crowded = checkpointed(crowded)
+        side = F.broadcast(crowded) if sum(found.values()) <= BROADCAST_KEYS else crowded
         parts.append(met.join(side, ["block", "key"], "left_anti"))
         finer = [(m, _as_signed(x)) for m in found for x in narrower_masks(m % (1 << 64), distance)]
         finer = F.broadcast(fps.sparkSession.createDataFrame(finer, "block long, finer long"))  # distance + 1 rows a mask
