@@ -30,14 +30,8 @@ KEEP_FROM = 0.5
 SEED = "rated-1"
 
 
-class _Places(dict):
-    """Feature number of each word, remembered for as many words as there are features."""
-
-    def __missing__(self, word: str) -> int:
-        n = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % FEATURES
-        if len(self) < 4 * FEATURES:
-            self[word] = n
-        return n
+def _place(name: str) -> int:
+    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) % FEATURES
 
 
 def _shape(word: str) -> str:
@@ -51,40 +45,45 @@ def _shape(word: str) -> str:
     return "\x00" + "".join(out)
 
 
+class _Words(dict):
+    """Feature numbers of each word: itself without the symbols at its ends, its shape, its beginnings (-1 for none).
+
+    Remembered for as many words as there are features.
+    """
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.lower().strip(_SYMBOLS)
+        stems = [_place(f"\x02{core[:n]}") if len(core) > n else -1 for n in BEGINNINGS]
+        found = np.array([_place(core), _place(_shape(word)), *stems], np.int32).tobytes()
+        if len(self) < FEATURES:
+            self[word] = found
+        return found
+
+
+def _counted(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers and the sums of their counts."""
+    distinct, which = np.unique(at, return_inverse=True)
+    return distinct, np.bincount(which, n, len(distinct))
+
+
 class Features:
     def __init__(self) -> None:
-        self.places = _Places()
-        self.shapes: dict[str, str] = {}
-
-    def _shape(self, word: str) -> str:
-        found = self.shapes.get(word)
-        if found is None:
-            if len(self.shapes) > 4 * FEATURES:
-                self.shapes.clear()
-            found = self.shapes[word] = _shape(word)
-        return found
+        self.words = _Words()
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and values. Words count without the symbols at their ends; repetition is a feature too."""
+        """Feature numbers and values. Repetition is a feature too."""
         counts = Counter(text.split())
-        names: Counter[str] = Counter()
-        stems: Counter[str] = Counter()
-        for word, n in counts.items():
-            core = word.lower().strip(_SYMBOLS)
-            names[core] += n
-            names[self._shape(word)] += n
-            for size in BEGINNINGS:
-                if len(core) > size:
-                    stems[f"\x02{core[:size]}"] += n
         total = sum(counts.values())
         if not total:
             return np.empty(0, np.int64), np.empty(0)
-        at = np.fromiter(map(self.places.__getitem__, (*names, *stems)), np.int64, len(names) + len(stems))
-        x = np.log1p(np.fromiter(names.values(), float, len(names)))
-        y = np.fromiter(stems.values(), float, len(stems))
-        x = np.append(x / np.sqrt((x * x).sum()), y / np.sqrt(max(1.0, (y * y).sum())))
-        again = self.places[f"\x01{min(9, int(10 * (1 - len(counts) / total)))}" if total >= 20 else "\x01"]
-        return np.append(at, again), np.append(x, 0.3)
+        places = np.frombuffer(b"".join(map(self.words.__getitem__, counts)), np.int32).reshape(len(counts), -1).astype(np.int64)
+        n = np.fromiter(counts.values(), float, len(counts))
+        at, x = _counted(places[:, :2].ravel(), np.repeat(n, 2))
+        x = np.log1p(x)
+        stems, of = places[:, 2:].ravel(), np.repeat(n, len(BEGINNINGS))
+        stem, y = _counted(stems[stems >= 0], of[stems >= 0])
+        again = _place(f"\x01{min(9, int(10 * (1 - len(counts) / total)))}" if total >= 20 else "\x01")
+        return np.concatenate([at, stem, [again]]), np.concatenate([x / np.sqrt((x * x).sum()), y / np.sqrt(max(1.0, (y * y).sum())), [0.3]])
 
 
 _SYMBOLS = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
