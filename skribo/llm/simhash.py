@@ -29,10 +29,12 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 HOT, BROADCAST_KEYS = 1 << 12, 50_000
 #: Shingles whose bits are counted at once.
 _AT_ONCE = 1 << 14
-#: For near copies by similarity: words of a shingle, bits of a fingerprint, bits of a block, and bits that may differ.
-#: Texts whose shingles have similarity J differ in about acos(2 J / (1 + J)) / pi of the bits: 78 of 512 at J = 0.8. Blocks
-#: of 16 bits are then equal with probability 0.07, and one of 32 at least with 0.91; at J = 0.85 it is 0.97, at 0.9 0.999.
-WIDE_SHINGLE, WIDE_BITS, WIDE_BLOCK, WIDE_DISTANCE = 5, 512, 16, 84
+#: For near copies by similarity: words of a shingle, and the least similarity of two texts' sets of shingles, as a fraction.
+NEAR_SHINGLE, NEAR = 5, (4, 5)
+#: Documents in which shingles are counted, documents of these from which on a shingle is common, most common shingles.
+COUNTED, COMMON, MOST_COMMON = 1 << 14, 3, 50_000
+#: Pairs yielded together; texts whose shingles a task keeps.
+_PAIRS, _KEPT = 1 << 18, 1 << 12
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -61,29 +63,6 @@ def _fingerprints(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fp"])
 
 
-def wide_fingerprint(text: bytes, size: int = WIDE_SHINGLE, bits: int = WIDE_BITS) -> bytes:
-    """Every shingle's hash is drawn out to as many bits; a bit is that of the majority."""
-    hashes, lanes = shingle_hashes(text, size), bits // 64
-    ones = np.zeros((8 * lanes, 256), np.int64)
-    for k in range(0, len(hashes), _AT_ONCE):
-        x = hashes[k : k + _AT_ONCE, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        at = x.view(np.uint8).reshape(len(x), -1) + np.arange(8 * lanes) * 256
-        ones += np.bincount(at.ravel(), minlength=ones.size).reshape(ones.shape)
-    return np.packbits(2 * (ones @ _BITS).ravel() > len(hashes)).tobytes()
-
-
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-
-
-def _wide_fingerprints(size: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [wide_fingerprint(t.as_py() or b"", size, bits) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "fp"])
-
-
 def block_masks(distance: int) -> list[int]:
     """A mask for every pair of distance + 2 blocks of the 64 bits."""
     n = distance + 2
@@ -234,17 +213,178 @@ def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def copies(docs: DataFrame, size: int = WIDE_SHINGLE, bits: int = WIDE_BITS, block: int = WIDE_BLOCK, distance: int = WIDE_DISTANCE) -> DataFrame:
+def shingle_set(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both)
+
+
+def _possible(n_u: np.ndarray, at_u: np.ndarray, n_v: np.ndarray, at_v: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be alike if their first common shingle is at these places of their order."""
+    return np.minimum(n_u - at_u, n_v - at_v) * (NEAR[0] + NEAR[1]) >= NEAR[0] * (n_u + n_v)
+
+
+def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t.as_py() or b"", size) for t in batch.column("text")]
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        shingles = pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), shingles)], names=["shingles"])
+
+
+def _prefixes(size: int, common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, a name of the set of shingles, its size, and as many of the first in the order as two alike sets must share one of.
+
+    common: sorted shingles and their ranks, in two rows. They come last, by rank; the others are ordered by hash.
+    """
+    for batch in batches:
+        names, sizes, prefixes = [], [], []
+        for t in batch.column("text"):
+            x = shingle_set(t.as_py() or b"", size)
+            n = len(x)
+            names.append(xxhash.xxh3_128_digest(x.tobytes()))
+            sizes.append(n)
+            if common.shape[1]:
+                at = np.minimum(np.searchsorted(common[0], x), common.shape[1] - 1)
+                last = common[0][at] == x
+                x = np.concatenate([x[~last], x[last][np.argsort(common[1][at[last]])]])
+            prefixes.append(x[: n + NEAR[0] * n // -NEAR[1] + 1].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], names=["doc_id", "name", "n", "prefix"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix."""
+    for batch in batches:
+        prefixes = batch.column("prefix").to_pylist()
+        length = np.array([len(x) // 8 for x in prefixes], np.int64)
+        first = np.cumsum(length) - length
+        at = np.arange(length.sum()) - np.repeat(first, length)
+        columns = np.frombuffer(b"".join(prefixes), np.int64), np.repeat(batch.column("node").to_numpy(), length), at.astype(np.int32), np.repeat(batch.column("n").to_numpy(), length)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "at", "n"])
+
+
+def _whole_keys(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns, starts and ends of keys, of rows that come sorted by the first column; a key's rows come together."""
+
+    def cut_up(held: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+        return columns, starts, np.r_[starts[1:], len(columns[0])]
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(n).to_numpy() for n in names]
+        key = columns[0]
+        cut = int(np.searchsorted(key, key[-1]))  # rows of the last key may go on in the next batch
+        if cut or held and held[0][0][0] != key[0]:
+            yield cut_up([*held, [c[:cut] for c in columns]] if cut else held)
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield cut_up(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key others have too, and the key's first node where the two can be alike, else the row's own."""
+    for (key, node, at, n), starts, ends in _whole_keys(("key", "node", "at", "n"), batches):
+        sizes = ends - starts
+        hub = np.repeat(starts, sizes)
+        first = np.where(_possible(n.astype(np.int64), at, n[hub].astype(np.int64), at[hub]), node[hub], node)
+        more = np.repeat(sizes > 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node, at, n, first)], names=["key", "node", "at", "n", "hub"])
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v: nodes that share a key, can be alike and are not in one component yet."""
+
+    def sent(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    held, n_held = [], 0
+    for (_, node, at, n, root), starts, ends in _whole_keys(("key", "node", "at", "n", "root"), batches):
+        n = n.astype(np.int64)
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        for s, e in zip(starts[mixed], ends[mixed], strict=True):
+            for k in range(s, e - 1):
+                rest = slice(k + 1, e)
+                other = node[rest][(root[rest] != root[k]) & _possible(n[k], at[k], n[rest], at[rest])]
+                if len(other):
+                    held.append(np.stack([np.minimum(other, node[k]), np.maximum(other, node[k])]))
+                    n_held += len(other)
+                if n_held >= _PAIRS:
+                    yield sent(held)
+                    held, n_held = [], 0
+    if held:
+        yield sent(held)
+
+
+def _verified(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: dict[bytes, np.ndarray] = {}
+
+    def of(text: bytes) -> np.ndarray:
+        if text not in kept:
+            if len(kept) >= _KEPT:
+                kept.clear()
+            kept[text] = shingle_set(text, size)
+        return kept[text]
+
+    for batch in batches:
+        ok = [_alike(of(a.as_py()), of(b.as_py())) for a, b in zip(batch.column("text_u"), batch.column("text_v"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
+    """Shingles that many texts have, sorted, and their ranks. They only order the search, so they are counted in some documents."""
+    every = max(1, rows.count() // COUNTED)
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").distinct()
+    counts = some.mapInArrow(lambda batches: _sets(size, batches), "shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    found = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()
+    shingles = np.array([r["shingle"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return np.stack([shingles[order], (len(found) - order).astype(np.uint64)])
+
+
+def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node (the least id with that set of shingles) of every document; u, v: pairs of nodes whose sets have similarity NEAR at
+    least, which connect all that such pairs connect.
+
+    Two such sets share one of the first shingles of each, whatever the order, so nothing is missed. Those that share one are first
+    compared with the least node of it only, then with all others that are not in their component by then.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    common = common_shingles(rows, size)
+    prints = checkpointed(rows.mapInArrow(lambda batches: _prefixes(size, common, batches), "doc_id long, name binary, n int, prefix binary"))
+    nodes = prints.groupBy("name").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    member = prints.select("doc_id", "name").join(nodes.select("name", "node"), "name").select("doc_id", "node")
+    keys = nodes.select("node", "n", "prefix").mapInArrow(_placed, "key long, node long, at int, n int")
+    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, at int, n int, hub long")
+    shared = checkpointed(shared)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        u, v = (rows.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("u", "v"))
+        return checkpointed(pairs.join(u, "u").join(v, "v").mapInArrow(lambda batches: _verified(size, batches), "u long, v long"))
+
+    stars = shared.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    near = verified(stars)
+    roots = components(near)
+    rooted = shared.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crossing = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "u long, v long")
+    return member, near.unionByName(verified(crossing.where("u <> v").distinct().join(stars, ["u", "v"], "left_anti")))
+
+
+def copies(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
     """doc_id, root: each document that is a copy or near copy, with the smallest id of its group, another one.
 
     Texts without words are copies of each other. Null ids are not grouped; rows that repeat an id are one document.
     """
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    prints = checkpointed(rows.mapInArrow(lambda batches: _wide_fingerprints(size, bits, batches), "doc_id long, fp binary"))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    blocks = F.posexplode(F.array(*[F.substring("fp", k * block // 8 + 1, block // 8) for k in range(bits // block)])).alias("block", "key")
-    near = components(_linked(distinct.select("node", "fp", blocks), distance)).where("node <> root")
-    member = prints.join(distinct, "fp").select("doc_id", "node")
+    member, edges = similar(docs, size)
+    near = components(edges).where("node <> root")
     grouped_ = member.join(near, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     return grouped_.where("root <> doc_id").distinct()
 

@@ -174,6 +174,34 @@ def test_near_copies_go(spark):
     same([(i,) for i in kept], [(k,) for k in range(60)] + [(None,), (None,), (5000,)])
 
 
+def similarity_of_sets(a, b, size=5):
+    x, y = ({tuple(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))} for ws in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_similarity_four_fifths(spark):
+    """Pairs at the threshold, and families with common lines, against all pairs."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = fresh(30), []
+    for k in range(150):
+        base = fresh(rng.choice([60, 200, 300])) + line * (k % 3 == 0)
+        texts.append(base)
+        for _ in range(1 + k % 3):
+            copy = list(rng.choice(texts[-2:]) if k % 2 else base)
+            for at in rng.sample(range(len(copy) // 5), max(1, round(len(copy) * rng.uniform(0.015, 0.032)))):
+                copy[5 * at] = f"c{rng.randrange(10**6)}"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(max(0, b - 8), b) if similarity_of_sets(texts[a], texts[b]) >= 0.8]
+    root = list(range(len(texts)))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    found = simhash.copies(frame(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()
+    assert len(pairs) > 80
+    same([tuple(r) for r in found], [(k, r) for k, r in enumerate(root) if r != k])
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_mixing(spark, documents, whole):
     rows = documents if whole else odd()
