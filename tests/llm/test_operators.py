@@ -202,6 +202,23 @@ def test_near_copies_of_similarity_four_fifths(spark):
     same([tuple(r) for r in found], [(k, r) for k, r in enumerate(root) if r != k])
 
 
+def test_unlike_documents_stay(spark):
+    """Those that share a line found many times, and those of similarity 0.77."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = fresh(10), []
+    for _ in range(10):
+        texts += [" ".join(fresh(200) + line * 40)]
+        base = fresh(300)
+        copy = list(base)
+        for at in range(10, 270, 35):
+            copy[at] = "changed"
+        assert 0.75 < similarity_of_sets(" ".join(base), " ".join(copy)) < 0.8
+        texts += [" ".join(base), " ".join(copy)]
+    rows = [(k, t, "a") for k, t in enumerate(texts)]
+    assert len(simhash.one_of_each(frame(spark, rows)).collect()) == len(rows)
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_mixing(spark, documents, whole):
     rows = documents if whole else odd()
