@@ -299,6 +299,18 @@ def test_suffix_dedup_of_shared_passages(spark):
     same(suffix_dedup.without_repeats(frame(spark, rows)).select(*COLUMNS).collect(), repeats([r[:2] for r in rows]))
 
 
+def test_suffix_dedup_of_lines_next_to_each_other(spark):
+    """A line that one document has several times in a row and another one once, before a passage of both."""
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    for length, times, fewer in ((60, 3, 1), (30, 3, 2)):
+        wrong = []
+        for k in range(0, 60, 2):
+            line, passage = text(length), text(rng.randrange(30, 160))
+            wrong += [(k, text(120) + line * times + passage, "a"), (k + 1, text(120) + line * fewer + passage, "a")]
+        same(suffix_dedup.without_repeats(frame(spark, wrong)).select(*COLUMNS).collect(), repeats([r[:2] for r in wrong]))
+
+
 @pytest.mark.parametrize("bucket_bytes", [1 << 26, 50])
 def test_suffix_dedup_cuts_long_texts(monkeypatch, bucket_bytes):
     """In-process, with parts, folds and buckets so small that every text is cut, every fold emptied often, and large buckets passed on."""
