@@ -3,7 +3,7 @@
 Markup is stripped into lines, one for each block of text. Elements that by name, class, id or role are menus, adverts,
 forms and the like are left out; lines in an article or main element are marked as certain. Text lengths (links count nothing)
 are summed over sliding windows of lines; the text starts at the surge, where a sum first reaches a threshold, and
-ends at the dive, after which no sum does. Certain lines reach the threshold by themselves.
+ends at the dive, after which no sum does. Certain lines reach the threshold by themselves, and count nothing in the sums of others.
 """
 
 from __future__ import annotations
@@ -136,23 +136,21 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """Blocks between the first surge and the last dive. Without a surge all blocks are kept that are not just links."""
     found = lines(page or "")
-    weights = [threshold if sure else plain for _, plain, sure in found]
-    if any(sure for _, _, sure in found):
-        return "\n".join(line for line, _, sure in found if sure)
-    sums, total = [], 0
+    weights = [0 if sure else plain for _, plain, sure in found]
+    starts, ends = [], []
+    total = 0
     for k, w in enumerate(weights):
         total += w - (weights[k - window] if k >= window else 0)
-        sums.append(total)
-    over = [k for k, s in enumerate(sums) if s >= threshold]
-    if not over:
+        if found[k][2]:
+            starts.append(k)
+            ends.append(k)
+        if total >= threshold:
+            of = [j for j in range(max(0, k - window + 1), k + 1) if weights[j]]
+            starts.append(of[0])
+            ends.append(of[-1])
+    if not starts:
         return "\n".join(line for line, plain, _ in found if plain)
-    first = max(0, over[0] - window + 1)
-    while not weights[first]:
-        first += 1
-    last = over[-1]
-    while not weights[last]:
-        last -= 1
-    return "\n".join(line for line, _, _ in found[first : last + 1])
+    return "\n".join(line for line, _, _ in found[min(starts) : max(ends) + 1])
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -361,6 +361,12 @@ def test_html_text(body, wanted):
     assert html_text.main_text(PAGE % body) == wanted
 
 
+def test_html_text_beside_a_small_article():
+    body = [f"Paragraph {k} of the body, as long as such are, with words enough to count for text." for k in range(4)]
+    around = "<p>Of note.</p><div>%s</div><p>Between.</p><article><p>A teaser.</p></article><p>Elsewhere.</p>"
+    assert html_text.main_text(PAGE % around % "".join(f"<p>{b}</p>" for b in body)) == "\n".join(["Of note.", *body, "Between.", "A teaser."])
+
+
 def test_html_text_of_damaged_pages(spark):
     rows = [(1, "u", "<article><p>cut off &amp"), (None, None, None), (2, "u", ""), (2, "u", "<p>a <!-- open"), (3, "u", "<article><p>x</p><script>never closed <p>y"), (4, "u", "1 < 2 and <b>3</b> > 2"), (5, "u", "<" * 3000 + "\"'" * 500)]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
