@@ -141,6 +141,11 @@ def similarity(a, b):
     return ratio(a, b)
 
 
+def can_be_alike(a, b, least):
+    """Whether the lengths of two string columns allow a similarity, rounded to four places, of least."""
+    return 2 * F.least(F.length(a), F.length(b)) >= (least - 1e-4) * (F.length(a) + F.length(b))
+
+
 @query("sc_similarity")
 def similarities(t):
     s = t("supplier")
@@ -152,8 +157,8 @@ def fuzzy(t):
     """Names that share a token with a candidate, the twelve most alike from 0.58 on."""
     p = t("part").select("p_name").distinct()
     token = F.explode(F.array_distinct(F.split(X.normalize_key(F.col("p_name")), " ")))
-    left = p.where(F.crc32("p_name") % 20 == 0).select(F.col("p_name").alias("name"), token.alias("token"))
-    pairs = left.join(p.select(F.col("p_name").alias("candidate"), token.alias("token")), "token").select("name", "candidate").distinct()
+    left = p.select(F.col("p_name").alias("name"), token.alias("token"))
+    pairs = left.join(p.select(F.col("p_name").alias("candidate"), token.alias("token")), "token").where(can_be_alike(F.lower("name"), F.lower("candidate"), 0.58)).select("name", "candidate").distinct()
     scored = pairs.select("name", "candidate", F.round(similarity(F.lower("name"), F.lower("candidate")), 4).alias("score")).where("score >= 0.58")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "candidate"))).where("place <= 12")
 

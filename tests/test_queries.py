@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables, and the traps that tables don't show."""
 
+import difflib
 import math
 
 import duckdb
@@ -99,6 +100,16 @@ def test_similarity(spark):
     assert [r[0] for r in rows.select(joins.similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0]
 
 
+def test_fuzzy_takes_every_name(spark):
+    names = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").distinct().collect()}
+    found = registry.QUERIES["jn_fuzzy"](spark, SF).collect()
+    assert {r["name"] for r in found if r["place"] == 1 and r["score"] == 1.0} == names
+    score = lambda a, b: round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 4)
+    for name in names:
+        alike = [(-score(name, c), c) for c in names if set(name.split()) & set(c.split())]
+        assert sorted((-r["score"], r["candidate"]) for r in found if r["name"] == name) == sorted(x for x in alike if x[0] <= -0.58)[:12]
+
+
 def test_links():
     assert sources.links("<a href='/x'>A <b>b</b></a><a>no</a>", "http://h/y/") == [("http://h/x", "A b")]
 
