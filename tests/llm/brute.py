@@ -70,20 +70,25 @@ def contamination(docs, items, width=10):
     return out
 
 
-def repeats(docs, width=100):
-    """docs: (id, text) with ids all different; null sorts last. id, n_bytes, n_removed, n_spans, kept_sha256."""
-    seen, out = set(), []
-    for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0])):
+def repeats(docs, width=100, order=None):
+    """docs: (id, text); null ids sort last. id, n_bytes, n_removed, n_spans, kept_sha256 of each.
+
+    Rows that repeat an id and a text are one document. order: what texts that share an id, or have none, are sorted by.
+    """
+    seen, out, done = set(), [], {}
+    for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, order(d[1]) if order else 0)):
         data = (text or "").encode()
-        gone = [False] * len(data)
-        for k in range(len(data) - width + 1):
-            piece = data[k : k + width]
-            if piece in seen:
-                gone[k : k + width] = [True] * width
-            seen.add(piece)
-        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
-        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
-        out.append((i, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        if (i, data) not in done:
+            gone = [False] * len(data)
+            for k in range(len(data) - width + 1):
+                piece = data[k : k + width]
+                if piece in seen:
+                    gone[k : k + width] = [True] * width
+                seen.add(piece)
+            spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+            kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+            done[i, data] = (i, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out.append(done[i, data])
     return out
 
 

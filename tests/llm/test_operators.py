@@ -276,11 +276,25 @@ COLUMNS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 @pytest.mark.parametrize("whole", [False, True])
 def test_suffix_dedup(spark, documents, whole):
-    rows = documents[:400] if whole else odd()
+    rows = documents if whole else odd()
     same(suffix_dedup.without_repeats(frame(spark, rows)).select(*COLUMNS).collect(), repeats([r[:2] for r in rows]))
     assert suffix_dedup.without_repeats(frame(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("few", [suffix_dedup.BROADCAST_IDS, 1])
+def test_suffix_dedup_of_null_and_repeated_ids(spark, monkeypatch, few):
+    """1,500 texts without an id, and ids that several texts share, some of them twice."""
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", few)
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [text(150) for _ in range(5)]
+    texts = [text(rng.randrange(400)) + (rng.choice(passages) + text(30) if k % 10 == 0 else "") for k in range(1500)]
+    rows = [(None, t, "s") for t in texts] + [(k // 4, text(120) + passages[k % 5], "s") for k in range(40)]
+    rows += rows[:30] + rows[1500:1510] + [(7, None, "s"), (7, "", "s")]
+    hashes = {r.text: r.h for r in frame(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()} | {"": 0, None: 0}
+    same(suffix_dedup.without_repeats(frame(spark, rows)).select(*COLUMNS).collect(), repeats([r[:2] for r in rows], order=hashes.get))
+
+
 def test_suffix_dedup_of_shared_passages(spark):
     """Passages at all offsets, periodic texts, and every period up to a window's length."""
     rng = random.Random(5)
@@ -338,7 +352,7 @@ def test_suffix_dedup_cuts_long_texts(monkeypatch, bucket_bytes):
 
 def test_suffix_dedup_keeps_whole_characters(spark):
     rows = [(1, "é" * 60 + "a" + "ü" * 80, "s"), (2, "x" + "é" * 60 + "a" + "ü" * 80 + "y", "s"), (3, "é" * 60 + "a" + "ü" * 80, "s")]
-    found = {r.doc_id: r.kept_text for r in suffix_dedup.without_repeats(frame(spark, rows), keep=("size",), with_text=True).collect()}
+    found = {r.doc_id: r.kept_text for r in suffix_dedup.without_repeats(frame(spark, rows), keep=("size", "hash"), with_text=True).collect()}
     assert found[3] == "" and found[2].startswith("x") and found[2].endswith("y") and "�" not in found[2]
 
 
