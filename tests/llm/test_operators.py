@@ -265,10 +265,32 @@ def test_decontaminate(spark, documents, whole):
     assert decontaminate.contaminated(docs.limit(0), benchmark(spark, items)).collect() == []
 
 
-def test_decontaminate_large_benchmark(spark, documents, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 10)
-    items = table("benchmark")
+@pytest.mark.parametrize("bound", [10, 3000])
+def test_decontaminate_large_benchmark(spark, documents, monkeypatch, bound):
+    """More prefixes than are broadcast, also more words; a word found everywhere is one of them."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", bound)
+    common = max(((sum(w in words(t) for _, t, _ in documents[:200]), w) for w in set(words(documents[0][1]))))[1]
+    items = [*table("benchmark"), (900, common), (901, f"{common} {common}")]
     same(decontaminate.contaminated(frame(spark, documents), benchmark(spark, items)).collect(), contamination([r[:2] for r in documents], items))
+    wanted = contamination([r[:2] for r in documents], items[:-2])
+    same([(r.doc_id,) for r in decontaminate.clean(frame(spark, documents), benchmark(spark, items[:-2])).collect()], [(r[0],) for r in wanted if not r[5]])
+
+
+@pytest.mark.parametrize("piece", [1, 7, 4096])
+def test_decontaminate_across_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    rng = random.Random(15)
+    items = [(k, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 40)))) for k in range(12)]
+    docs = [(k, " ".join(rng.choice("abcdefghijkl") + " " + (rng.choice(items)[1] if rng.random() < 0.1 else "") for _ in range(rng.randrange(60))), "s") for k in range(40)]
+    same(decontaminate.contaminated(frame(spark, docs), benchmark(spark, items)).collect(), contamination([r[:2] for r in docs], items))
+
+
+def test_decontaminate_a_long_text(spark):
+    """300,000 words, all of them prefix words of an item."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, f"{item} " * 25_000, "s"), (2, item, "s")]
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contaminated(frame(spark, docs), benchmark(spark, [(5, f"{item} {item}")])).collect()}
+    assert found == {1: (300_000, 300_000, 1), 2: (12, 12, 1)}
 
 
 COLUMNS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
