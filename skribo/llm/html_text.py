@@ -1,9 +1,12 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one for each block of text. Elements that by name, class, id or role are menus, adverts,
-forms and the like are left out; lines in an article or main element are marked as certain. Text lengths (links count nothing)
-are summed over sliding windows of lines; the text starts at the surge, where a sum first reaches a threshold, and
-ends at the dive, after which no sum does. Certain lines reach the threshold by themselves, and count nothing in the sums of others.
+Markup is stripped into lines, one for each block of text. Elements that are menus, forms, scripts and the like are left out by
+name, others by the words of their class, id or role; lines in an article or main element are marked as certain. Text lengths
+(links count nothing) are summed over sliding windows of lines; the text starts at the surge, where a sum first reaches a threshold,
+and ends at the dive, after which no sum does. Certain lines reach the threshold by themselves, and count nothing in the sums of others.
+
+A class that only holds such a word ("has-sidebar") may be that of a wrapper: its block stays if most of the page's text is in it.
+Within an article, where titles have names such as "post-header", only adverts, reader comments, notices and sidebars go by name.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead footer comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager search complementary contentinfo skip".split()
 )
+#: Of these, those that name foreign matter wherever they stand in a class, and those that within an article are no name of its own parts.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense sponsored cookie cookies comment comments disqus".split())
+OF_ARTICLES = frozenset("header masthead banner main article social search reply skip".split())
 _KEPT = frozenset(("html", "body", "main", "article"))
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
@@ -41,96 +47,142 @@ _HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 
-def _named(attributes: str) -> bool:
-    return any(w.lower() in NAMES for m in _NAMED.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")) or bool(_HIDDEN.search(attributes))
-
-
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """The text of each block outside of what is left out, how much of it is no link, and whether it is certain."""
-    out: list[tuple[str, int, bool]] = []
-    text: list[str] = []
-    plain = 0  # characters of this line outside of links
-    stack: list[tuple[str, bool]] = []  # open elements but for inline ones, and whether each is left out
-    out_of, links, certain = 0, 0, 0
-    at = 0
-
-    def end_line() -> None:
-        nonlocal plain
-        line = " ".join("".join(text).split())
+def _named(attributes: str, in_article: bool) -> int:
+    """Whether class, id and role, or an attribute that hides, tell that an element is no main text: 0 no, 1 perhaps (a wrapper may be named so), 2 yes."""
+    if _HIDDEN.search(attributes):
+        return 2
+    found = 0
+    for m in _NAMED.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            parts = [w.lower() for w in _WORD.findall(token)]
+            if not FOREIGN.isdisjoint(parts) or token.lower() in NAMES and not (in_article and token.lower() in OF_ARTICLES):
+                return 2
+            if not in_article and not NAMES.isdisjoint(parts):
+                found = 1
+    return found
+
+
+class _Lines:
+    """Reads a page's markup once, from left to right; every step takes the same time however deep the elements are."""
+
+    def __init__(self) -> None:
+        #: text, characters outside of links, whether it is certain, number of the innermost named block
+        self.found: list[tuple[str, int, bool, int]] = []
+        #: of each block that is named, or an article: the one around it, and what _named says of it; 0 is the page
+        self.around, self.named = [0], [0]
+        self.text: list[str] = []
+        self.plain = self.out_of = self.links = self.certain = 0
+        #: open elements: name, whether it is left out, the block before it
+        self.stack: list[tuple[str, bool, int]] = []
+        self.open: dict[str, list[int]] = {}
+        self.block = 0
+
+    def end_line(self) -> None:
+        line = " ".join("".join(self.text).split())
         if line:
-            out.append((line, plain, certain > 0))
-        text.clear()
-        plain = 0
+            self.found.append((line, self.plain, self.certain > 0, self.block))
+        self.text.clear()
+        self.plain = 0
 
-    def add(piece: str) -> None:
-        nonlocal plain
-        if piece and not out_of:
+    def add(self, piece: str) -> None:
+        if piece and not self.out_of:
             piece = html.unescape(piece)
-            text.append(piece)
-            if not links:
-                plain += len(piece.strip())
-
-    def leave(k: int) -> None:
-        nonlocal out_of, certain
-        for name, left_out in stack[k:]:
-            out_of -= left_out
-            certain -= name in ("article", "main")
-        del stack[k:]
-
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
-            continue
-        attributes = m[3] or m[6] or ""
-        if m[1] or m[4]:
-            if name == "a":
-                links = 0
-            if name in INLINE:
-                if any(n == name for n, _ in stack):
-                    k = max(k for k, (n, _) in enumerate(stack) if n == name)
-                    leave(k)
-                continue
-            end_line()
-            open_ = [k for k, (n, _) in enumerate(stack) if n == name]
-            if open_:
-                leave(open_[-1])
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>?|\Z", re.IGNORECASE).search(page, at)
-            if name not in LEFT_OUT:
-                add(page[at : end.start()])
-            at = end.end() if end[0] else len(page)
-            if end[0] and not end[0].endswith(">"):
-                at = (page.find(">", at) + 1) or len(page)
-            continue
+            self.text.append(piece)
+            if not self.links:
+                self.plain += len(piece.strip())
+
+    def enter(self, name: str, left_out: bool, block: int) -> None:
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, left_out, self.block))
+        self.out_of += left_out
+        self.certain += name in ("article", "main")
+        self.block = block
+
+    def leave(self, name: str) -> None:
+        """Closes the last open element of that name and all in it."""
+        at = self.open.get(name)
+        if not at:
+            return
+        for _ in range(len(self.stack) - at[-1]):
+            n, left_out, self.block = self.stack.pop()
+            self.open[n].pop()
+            self.out_of -= left_out
+            self.certain -= n in ("article", "main")
+
+    def start(self, name: str, attributes: str) -> None:
         if name == "a":
-            links = 1
-        left_out = name in LEFT_OUT or (name not in _KEPT and _named(attributes))
-        if name in ("article", "main") and out_of and not any(n in LEFT_OUT for n, x in stack if x):
-            stack[:] = [(n, False) for n, _ in stack]  # what a name alone had left out holds the article
-            out_of = 0
+            self.links = 1
         if name in INLINE:
-            if left_out and name not in VOID:
-                stack.append((name, True))
-                out_of += 1
-            continue
-        end_line()
+            if name not in VOID and (name in LEFT_OUT or _named(attributes, self.certain > 0) == 2):
+                self.enter(name, True, self.block)
+            return
+        self.end_line()
         if name in VOID or attributes.rstrip().endswith("/") and name in ("p", "div", "svg"):
-            continue
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # these end by themselves
-            if stack and stack[-1][0] == name:
-                leave(len(stack) - 1)
-        stack.append((name, left_out))
-        out_of += left_out
-        certain += name in ("article", "main")
-        links = 0 if name not in ("a",) and certain and name == "article" else links
-    add(page[at:])
-    end_line()
-    return out
+            return
+        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and self.stack and self.stack[-1][0] == name:  # these end by themselves
+            self.leave(name)
+        article = name in ("article", "main")
+        named = 0 if name in _KEPT else _named(attributes, self.certain > 0)
+        block = self.block
+        if named or article:
+            block = len(self.around)
+            self.around.append(self.block)
+            self.named.append(named)
+        self.enter(name, name in LEFT_OUT, block)
+        if name == "article":
+            self.links = 0
+
+    def end(self, name: str) -> None:
+        if name == "a":
+            self.links = 0
+        if name not in INLINE:
+            self.end_line()
+        self.leave(name)
+
+    def read(self, page: str) -> None:
+        at = 0
+        while m := _TAG.search(page, at):
+            self.add(page[at : m.start()])
+            at = m.end()
+            name = (m[2] or m[5] or "").lower()
+            if not name:
+                if m[0].startswith("<![CDATA["):
+                    self.add(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+            elif m[1] or m[4]:
+                self.end(name)
+            elif name in RAW:
+                end = re.compile(rf"</{name}\s*>?|\Z", re.IGNORECASE).search(page, at)
+                if name not in LEFT_OUT:
+                    self.add(page[at : end.start()])
+                at = end.end() if end[0] else len(page)
+                if end[0] and not end[0].endswith(">"):
+                    at = (page.find(">", at) + 1) or len(page)
+            else:
+                self.start(name, m[3] or m[6] or "")
+        self.add(page[at:])
+        self.end_line()
+
+    def kept(self) -> list[tuple[str, int, bool]]:
+        """The lines but for those in named blocks that go: surely named ones with all in them, and others that don't hold most of the text, but for articles in them."""
+        held, n = [0] * len(self.around), len(self.around)
+        for _, plain, _, block in self.found:
+            held[block] += plain
+        for b in range(n - 1, 0, -1):  # a block's number is greater than that of the one around it
+            held[self.around[b]] += held[b]
+        sure, goes = [False] * n, [False] * n
+        for b in range(1, n):
+            sure[b] = self.named[b] == 2 or sure[self.around[b]]
+            small = self.named[b] == 1 and 2 * held[b] <= held[0]
+            article = not self.named[b]
+            goes[b] = sure[b] or small or goes[self.around[b]] and not article
+        return [(line, plain, certain) for line, plain, certain, b in self.found if not goes[b]]
+
+
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """The text of each block outside of what is left out, how much of it is no link, and whether it is certain."""
+    reader = _Lines()
+    reader.read(page)
+    return reader.kept()
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:

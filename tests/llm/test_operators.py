@@ -391,6 +391,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="<p>no</p>";<
         ("<div><p>%s</p><p>Tiny.</p><p>%s</p></div>" % ("long text " * 20, "more text " * 20), "%s\nTiny.\n%s" % (("long text " * 20).strip(), ("more text " * 20).strip())),
         ("<p>Only a bit.</p>", "Only a bit."),
         ("", ""),
+        ("<article><div class='post-header'><h1>Title</h1></div><p>Text one.</p><section class='related-work'><p>Others.</p></section></article>", "Title\nText one.\nOthers."),
+        ("<article><p>One.</p><div class='ad-slot'>Buy</div><div class=sidebar>Side</div><div class='notice'>Note</div><ol class='comment-list'><li>First!</ol></article>", "One."),
+        ("<div class='content has-sidebar'><p>%s</p><div class=sidebar><p>%s</p></div></div>" % ("long text " * 20, "side text " * 30), ("long text " * 20).strip()),
+        ("<div id='search-results'><p>%s</p></div><div class='top-menu'>%s</div>" % ("long text " * 20, "entry " * 20), ("long text " * 20).strip()),
+        ("<div id=comments><article class=comment><p>%s</p></article></div><p>%s</p>" % ("great text " * 30, "long text " * 20), ("long text " * 20).strip()),
+        ("<div class='x' hidden><p>%s</p></div><p>Seen.</p>" % ("long text " * 20), "Seen."),
     ],
 )
 def test_html_text(body, wanted):
@@ -403,6 +409,30 @@ def test_html_text_beside_a_small_article():
     assert html_text.main_text(PAGE % around % "".join(f"<p>{b}</p>" for b in body)) == "\n".join(["Of note.", *body, "Between.", "A teaser."])
 
 
+def test_html_text_of_a_teaser_before_the_story():
+    story = [f"Paragraph {k} of the story, as long as such are, with words enough to count for text." for k in range(4)]
+    assert html_text.main_text(PAGE % ("<article><p>A teaser.</p></article><div id='content'>%s</div>" % "".join(f"<p>{b}</p>" for b in story))) == "\n".join(["A teaser.", *story])
+
+
+def test_html_text_of_deep_markup():
+    """Any number of elements in each other, and of end tags without a start, in time that grows in proportion."""
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<div>" * 100_000 + "x" + "</p>" * 100_000) == "x"
+    assert html_text.main_text("<div class='has-menu'>" * 50_000 + "<article>y" + "</i></div>" * 50_000) == "y"
+    assert time.time() - began < 20
+
+
+def test_html_text_windows_decide(spark):
+    """The same pages without their article elements: surge and dive alone find the same text on most of them."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    bare = [r.html.replace("<article>", "<div>").replace("</article>", "</div>") for r in pages]
+    assert all("<article" not in b and "<main" not in b for b in bare)
+    alike = [html_text.main_text(b) == html_text.main_text(r.html) for b, r in zip(bare, pages, strict=True)]
+    assert sum(alike) >= 0.6 * len(pages), sum(alike)
+
+
 def test_html_text_of_damaged_pages(spark):
     rows = [(1, "u", "<article><p>cut off &amp"), (None, None, None), (2, "u", ""), (2, "u", "<p>a <!-- open"), (3, "u", "<article><p>x</p><script>never closed <p>y"), (4, "u", "1 < 2 and <b>3</b> > 2"), (5, "u", "<" * 3000 + "\"'" * 500)]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
