@@ -19,6 +19,38 @@ def places(ws, phrase):
     return [k for k in range(len(ws) - n + 1) if ws[k : k + n] == phrase]
 
 
+def licenses(text, templates, otherwise, denials, slack, within):
+    """labels, score: every template at every place."""
+    ws = words(text)
+
+    def at(phrase, s):
+        return s >= 0 and tuple(ws[s : s + len(phrase)]) == tuple(phrase)
+
+    def found(t):
+        (a, n), rest = t.keys[0], t.keys[1:]
+        for s in range(-len(t.words), len(ws)):
+            if at(t.words[a : a + n], s + a) and all(any(at(t.words[b : b + m], s + b + d) for d in range(-slack, slack + 1)) for b, m in rest):
+                yield s
+
+    def counts(t, s):
+        begin = s + t.keys[0][0]
+        if any(w in denials for w in ws[max(0, begin - within) : begin]):
+            return False
+        if t.phrases:
+            return True
+        longer = [x.main for x in (*templates, *otherwise) if x.label != t.label and len(x.main) > len(t.words)]
+        return not any(m[d : d + len(t.words)] == t.words and at(m, s - d) for m in longer for d in range(len(m)))
+
+    shares = {}
+    for t in (*templates, *otherwise):
+        for s in found(t):
+            if t.base or counts(t, s):
+                same = sum(s + k >= 0 and ws[s + k : s + k + 1] == [w] for k, w in enumerate(t.words)) / len(t.words)
+                shares.setdefault((t in otherwise, t.label), []).append(same)
+    own = sorted({label for other, label in shares if not other}) or sorted({label for _, label in shares})
+    return ",".join(own), max((x for v in shares.values() for x in v), default=0.0)
+
+
 def fingerprint(text, size=3):
     ws = (text or "").translate(LOWER).encode().split()
     shingles = [b" ".join(ws[k : k + size]) for k in range(len(ws) - size + 1)] if len(ws) >= size else [b" ".join(ws)] if ws else []

@@ -7,7 +7,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import tokenizers
-from brute import TEXTS, components, contamination, fingerprint, places, repeats, targets, words
+from brute import TEXTS, components, contamination, fingerprint, licenses, places, repeats, targets, words
 from pyspark.sql import functions as F
 
 from skribo.llm import decontaminate, html_text, license_scan, mixing, ordinal_quality, paragraph_sketch, queries, simhash, suffix_dedup, token_counts, warc
@@ -63,9 +63,35 @@ def test_license_scan(spark, documents, whole):
     same([r[:6] for r in found], base_scan(rows))
     for r in found:
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and r.labels == ",".join(sorted(set(r.labels.split(","))))
+    same([(r.doc_id, r.labels, pytest.approx(r.score)) for r in found], [(i, *by_every_template(t)) for i, t, _ in rows])
     assert license_scan.scan(frame(spark, rows).limit(0)).collect() == []
 
 
+def by_every_template(text):
+    return licenses(text, license_scan.TEMPLATES, license_scan.ELSE, license_scan.DENIALS, license_scan.SLACK, license_scan.DENIED_WITHIN)
+
+
+def test_license_templates(spark):
+    """Whole notices, notices with words put in, changed, left out or denied, and several of them in a text, against every template at every place."""
+    rng, texts = random.Random(16), []
+    for t in license_scan.TEMPLATES + license_scan.ELSE:
+        texts += [t.text, f"Before. {t.text.upper()}; after", f"This is not {t.text}", f"not at all so {t.text}", " ".join(t.words[1:]), " ".join(t.words[:-1])]
+        for _ in range(6):
+            ws = list(t.words)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(ws))
+                ws[at : at + rng.randrange(2)] = ["word"] * rng.randrange(5)
+                ws = ws or ["word"]
+            texts.append(" ".join(ws + ["and"] * rng.randrange(3) + list(rng.choice(license_scan.TEMPLATES).words)))
+    found = license_scan.scan(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()
+    for r in found:
+        labels, score = by_every_template(texts[r.doc_id])
+        assert (r.labels, r.score) == (labels, pytest.approx(score)), texts[r.doc_id]
+    by = {texts[r.doc_id]: r.labels for r in found}
+    assert by["creative commons attribution sharealike"] == "cc-by-sa" and by["creative commons attribution noncommercial sharealike"] == "cc-by-nc-sa"
+    assert by["This is not under the gnu general public license"] == "" and by["all rights reserved"] == "proprietary"
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_paragraph_sketch(spark, documents, whole):
     rows = documents if whole else odd()
