@@ -35,10 +35,13 @@ def tokens(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, in what spark.checkpoint.dir names; a folder of our own only where it is unset, as in tests."""
+    """The session's checkpoint folder, in what spark.checkpoint.dir names; a folder of our own only where it is unset in local mode, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skribo-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skribo-"))
     return sc.getCheckpointDir()
 
 
@@ -46,3 +49,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A key with more than one of so many rows goes by broadcast; there are no more such keys than this.
+SHARES = 1000
+
+
+def join_uneven(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """left joined with right by key, the rows that right has no key for left out.
+
+    right has a row a key, and in column rows how many rows of left have it; total is the number of left's rows. Keys with more
+    than a share of total are broadcast, so no task gets all rows of one.
+    """
+    hot = F.col(rows) * SHARES > total
+    many = F.broadcast(right.where(hot).drop(rows))
+    few = left.join(many.select(key), key, "left_anti").join(right.where(~hot).drop(rows), key)
+    return left.join(many, key).unionByName(few)

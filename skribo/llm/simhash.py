@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skribo.llm.common import checkpointed
+from skribo.llm.common import checkpointed, join_uneven
 
 #: Words of a shingle, bits in which linked fingerprints may differ, seed of the hash.
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -205,12 +205,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
 
 
 def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """prints: doc_id, fp. doc_id, fingerprint, component_id of each row; neither the rows of a fingerprint nor the fingerprints of a component have to fit into a task."""
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     roots = components(edges).select(F.col("node").alias("fp"), "root")
-    member = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(whole, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = checkpointed(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    whole = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    classes = join_uneven(member, whole, "root", "members", member.count()).select("fp", "component_id", "rows")
+    return join_uneven(prints, checkpointed(classes), "fp", "rows", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:

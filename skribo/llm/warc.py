@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skribo.llm.common import checkpointed
+from skribo.llm.common import checkpointed, join_uneven
 
 #: Payloads of at least so many bytes are archived once; an archive closes when it has so many; bytes read at a time.
 REVISIT_FROM, ARCHIVE_BYTES, PIECE = 100, 8 << 20, 1 << 16
@@ -148,10 +148,12 @@ def write_archives(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    large = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("digest", "page_id")
-    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    revisit = F.coalesce(F.col("first") < F.col("page_id"), F.lit(False)).alias("revisit")
-    marked = rows.join(shared, "digest", "left").select(F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNotNull().alias("known"), F.coalesce("url", F.lit("")).alias("url"), "payload", "digest", revisit, F.coalesce("first", F.lit(0)).alias("refers_to"))
+    # Only digests and ids meet by digest; payloads move once, by id and digest, and only to where a revisit is known.
+    large = checkpointed(rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("digest", "page_id"))
+    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = join_uneven(large, shared, "digest", "n", large.count()).where("first < page_id").distinct()
+    revisit = F.col("first").isNotNull().alias("revisit")
+    marked = rows.join(again, ["page_id", "digest"], "left").select(F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNotNull().alias("known"), F.coalesce("url", F.lit("")).alias("url"), "payload", "digest", revisit, F.coalesce("first", F.lit(0)).alias("refers_to"))
     return marked.mapInPandas(_write, "archive string, content binary")
 
 
