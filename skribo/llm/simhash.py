@@ -6,6 +6,10 @@ than HOT meet is split: two of them share one of distance + 1 blocks of the bits
 again under each of those. Distinct fingerprints run out of open bits, which bounds what a task compares. Those that
 meet are linked by a search that takes each fingerprint once and compares it with the ones not reached yet, so a group leaves
 as a tree, not as all of its pairs. Components follow by contracting the trees' edges, a few rounds of joins.
+
+one_of_each drops near copies by similarity of their sets of shingles. Fingerprints of the sets link what is close the same way, each link
+verified by the texts. Two sets of similarity 0.8 may differ in 15 % of the bits, too many for blocks; what fingerprints don't link is
+found by the first shingles of the sets in a common order, common shingles last, of which two such sets share one.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ HOT, BROADCAST_KEYS = 1 << 12, 50_000
 _AT_ONCE = 1 << 14
 #: For near copies by similarity: words of a shingle, and the least similarity of two texts' sets of shingles, as a fraction.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
-#: Documents in which shingles are counted, documents of these from which on a shingle is common, most common shingles.
+#: Documents in which shingles are counted, documents of these from which on a shingle is common, most common shingles. They only order the search.
 COUNTED, COMMON, MOST_COMMON = 1 << 14, 3, 50_000
+#: Sets that share a first shingle from which on it is common too, counted in all documents.
+CROWDED = 1 << 12
 #: Pairs yielded together; texts whose shingles a task keeps.
 _PAIRS, _KEPT = 1 << 18, 1 << 12
 
@@ -47,7 +53,11 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """As a signed integer of 64 bits."""
-    hashes = shingle_hashes(text, size)
+    return bits_of(shingle_hashes(text, size))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed integer of 64 bits."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -237,23 +247,25 @@ def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _prefixes(size: int, common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, a name of the set of shingles, its size, and as many of the first in the order as two alike sets must share one of.
+    """doc_id, same, a name of the set of shingles, its size and fingerprint, and as many of the first in the order as two alike sets must share one of.
 
     common: sorted shingles and their ranks, in two rows. They come last, by rank; the others are ordered by hash.
     """
     for batch in batches:
-        names, sizes, prefixes = [], [], []
+        names, sizes, prints, prefixes = [], [], [], []
         for t in batch.column("text"):
             x = shingle_set(t.as_py() or b"", size)
             n = len(x)
             names.append(xxhash.xxh3_128_digest(x.tobytes()))
             sizes.append(n)
+            prints.append(bits_of(x))
             if common.shape[1]:
                 at = np.minimum(np.searchsorted(common[0], x), common.shape[1] - 1)
                 last = common[0][at] == x
                 x = np.concatenate([x[~last], x[last][np.argsort(common[1][at[last]])]])
             prefixes.append(x[: n + NEAR[0] * n // -NEAR[1] + 1].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], names=["doc_id", "name", "n", "prefix"])
+        made = pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), *made], names=["doc_id", "same", "name", "n", "fp", "prefix"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,57 +353,98 @@ def _verified(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
-    """Shingles that many texts have, sorted, and their ranks. They only order the search, so they are counted in some documents."""
+    """Shingles that many texts have, the most common first. They only order the search, so they are counted in some documents."""
     every = max(1, rows.count() // COUNTED)
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").distinct()
     counts = some.mapInArrow(lambda batches: _sets(size, batches), "shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
     found = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()
-    shingles = np.array([r["shingle"] for r in found], np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return np.stack([shingles[order], (len(found) - order).astype(np.uint64)])
+    return np.array([r["shingle"] for r in found], np.int64).view(np.uint64)
+
+
+def _ranks(common: np.ndarray) -> np.ndarray:
+    """Shingles, sorted, and their ranks, the most common ones last."""
+    order = np.argsort(common)
+    return np.stack([common[order], (len(common) - order).astype(np.uint64)])
+
+
+def _sharing(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """prints: doc_id, same, name of every document; nodes: node, name, doc_id, same, fp, rows of every distinct set of shingles, the
+    least document that has it and how many have; shared: key, node, at, n, hub, its first shingles that others have too.
+
+    A first shingle of more than CROWDED sets is common, whatever the sample said, and the sets are ordered anew.
+    """
+    common, again = common_shingles(rows, size), True
+    while True:
+        ranks = _ranks(common)
+        made = checkpointed(rows.mapInArrow(lambda batches, ranks=ranks: _prefixes(size, ranks, batches), "doc_id long, same long, name binary, n int, fp long, prefix binary"))
+        least = made.groupBy("name").agg(F.min(F.struct("doc_id", "same")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
+        nodes = checkpointed(least.select(F.monotonically_increasing_id().alias("node"), "name", "least.doc_id", "least.same", "n", "fp", "prefix", "rows"))
+        keys = nodes.select("node", "n", "prefix").mapInArrow(_placed, "key long, node long, at int, n int")
+        shared = checkpointed(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, at int, n int, hub long"))
+        crowded = shared.groupBy("key").count().where(F.col("count") > CROWDED).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect() if again else []
+        if not crowded:
+            return made.select("doc_id", "same", "name"), nodes.drop("prefix", "n"), shared
+        found = np.array([r["key"] for r in crowded], np.int64).view(np.uint64)
+        common, again = np.concatenate([found, common[~np.isin(common, found)]]), False
 
 
 def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node (the least id with that set of shingles) of every document; u, v: pairs of nodes whose sets have similarity NEAR at
-    least, which connect all that such pairs connect.
+    """doc_id, same (a hash of the text), node (a number of its set of shingles) of every document; u, v: pairs of nodes whose sets
+    have similarity NEAR at least, which connect all that such pairs connect.
 
-    Two such sets share one of the first shingles of each, whatever the order, so nothing is missed. Those that share one are first
-    compared with the least node of it only, then with all others that are not in their component by then.
+    Sets with close fingerprints are linked first. Two sets of similarity NEAR share one of the first shingles of each, whatever the
+    order, so nothing is missed: those that share one are compared with the least node that has it, then with all others that are not in
+    their component by then. Every link is verified by the texts.
     """
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    common = common_shingles(rows, size)
-    prints = checkpointed(rows.mapInArrow(lambda batches: _prefixes(size, common, batches), "doc_id long, name binary, n int, prefix binary"))
-    nodes = prints.groupBy("name").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    member = prints.select("doc_id", "name").join(nodes.select("name", "node"), "name").select("doc_id", "node")
-    keys = nodes.select("node", "n", "prefix").mapInArrow(_placed, "key long, node long, at int, n int")
-    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, at int, n int, hub long")
-    shared = checkpointed(shared)
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    prints, nodes, shared = _sharing(rows, size)
+    member = join_uneven(prints, nodes.select("name", "node", "rows"), "name", "rows", prints.count()).select("doc_id", "same", "node")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        u, v = (rows.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("u", "v"))
-        return checkpointed(pairs.join(u, "u").join(v, "v").mapInArrow(lambda batches: _verified(size, batches), "u long, v long"))
-
+        for x in ("u", "v"):
+            named = nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("same").alias(f"same_{x}"))
+            texts = rows.select(F.col("doc_id").alias(f"id_{x}"), F.col("same").alias(f"same_{x}"), F.col("text").alias(f"text_{x}"))
+            pairs = pairs.join(named, x).join(texts, [f"id_{x}", f"same_{x}"])
+        return checkpointed(pairs.select("u", "v", "text_u", "text_v").mapInArrow(lambda batches: _verified(size, batches), "u long, v long").distinct())
+
+    def apart(pairs: DataFrame, near: DataFrame) -> DataFrame:
+        """The pairs that are not in one component of near."""
+        roots = components(near)
+        for x in ("u", "v"):
+            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+        return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+    prints_of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    ends = links(prints_of.select("fp")).distinct()
+    for x in ("u", "v"):
+        ends = ends.withColumnRenamed(x, "fp").join(prints_of, "fp").drop("fp").withColumnRenamed("node", x)
+    equal = nodes.select("fp", F.col("node").alias("u")).join(prints_of.withColumnRenamed("node", "v"), "fp").where("u <> v").select("u", "v")
+    near = verified(ends.select("u", "v").unionByName(equal))
     stars = shared.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    near = verified(stars)
-    roots = components(near)
-    rooted = shared.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = near.unionByName(verified(apart(stars, near)))
+    rooted = shared.drop("hub").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     crossing = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "u long, v long")
     return member, near.unionByName(verified(crossing.where("u <> v").distinct().join(stars, ["u", "v"], "left_anti")))
 
 
 def copies(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, root: each document that is a copy or near copy, with the smallest id of its group, another one.
+    """doc_id, same, root: each document that is a copy or near copy of one with a smaller id (of equal ids, a smaller hash of the text), and the smallest id of its group.
 
-    Texts without words are copies of each other. Null ids are not grouped; rows that repeat an id are one document.
+    Texts without words are copies of each other. Null ids are not grouped; rows that repeat an id and a text are one document.
     """
     member, edges = similar(docs, size)
-    near = components(edges).where("node <> root")
-    grouped_ = member.join(near, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    return grouped_.where("root <> doc_id").distinct()
+    roots = components(edges)
+    member = checkpointed(member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
+    groups = member.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("first"), F.count("*").alias("rows"))
+    named = join_uneven(member, groups, "root", "rows", member.count())
+    return named.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("same") != F.col("first.same"))).select("doc_id", "same", F.col("first.doc_id").alias("root")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs but for copies and near copies of documents with a smaller id; all columns are kept."""
-    gone = copies(docs).select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"))
-    return rows.join(gone, F.col("row_id") == F.col("gone_id"), "left_anti").select("row.*")
+    """The rows of docs but for copies and near copies of other documents, of which the one with the smallest id stays; all columns are kept.
+
+    Rows that repeat an id and a text stay or go together; those that repeat an id alone are different documents. No id: the row stays.
+    """
+    gone = copies(docs).select(F.col("doc_id").alias("gone_id"), F.col("same").alias("gone_same"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_same"))
+    return rows.join(gone, (F.col("row_id") == F.col("gone_id")) & (F.col("row_same") == F.col("gone_same")), "left_anti").select("row.*")

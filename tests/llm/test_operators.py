@@ -200,13 +200,22 @@ def test_near_copies_go(spark):
     same([(i,) for i in kept], [(k,) for k in range(60)] + [(None,), (None,), (5000,)])
 
 
+def test_near_dedup_tells_texts_of_an_id_apart(spark):
+    a, unique = " ".join(f"a{k}" for k in range(50)), " ".join(f"u{k}" for k in range(50))
+    rows = [(1, a, "s"), (5, a, "s"), (5, unique, "s"), (6, unique + " more", "s"), (7, "one two", "s")]
+    same([(r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows)).collect()], [(1, a), (5, unique), (7, "one two")])
+    assert simhash.one_of_each(frame(spark, rows).limit(0)).collect() == []
+
+
 def similarity_of_sets(a, b, size=5):
     x, y = ({tuple(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))} for ws in (a.split(), b.split()))
     return len(x & y) / len(x | y)
 
 
-def test_near_copies_of_similarity_four_fifths(spark):
-    """Pairs at the threshold, and families with common lines, against all pairs."""
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 10])
+def test_near_copies_of_similarity_four_fifths(spark, monkeypatch, crowded):
+    """Pairs at the threshold, and families with common lines, against all pairs; also with an order made anew."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = random.Random(11)
     fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     line, texts = fresh(30), []
@@ -225,7 +234,7 @@ def test_near_copies_of_similarity_four_fifths(spark):
         root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
     found = simhash.copies(frame(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()
     assert len(pairs) > 80
-    same([tuple(r) for r in found], [(k, r) for k, r in enumerate(root) if r != k])
+    same([(r.doc_id, r.root) for r in found], [(k, r) for k, r in enumerate(root) if r != k])
 
 
 def test_unlike_documents_stay(spark):
