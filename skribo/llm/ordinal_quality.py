@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed features; rated documents that the fit takes at most; passes over them.
-FEATURES, SAMPLE, PASSES = 1 << 17, 6000, 12
+#: Hashed features; rated documents that the fit takes at most, and bytes of their texts; passes over them.
+FEATURES, SAMPLE, SAMPLE_BYTES, PASSES = 1 << 17, 6000, 1 << 26, 12
 #: Letters of a word's beginnings.
 BEGINNINGS = (3, 4, 5)
 #: Grades: 0 toxic, 1 poor, 2 good.
@@ -100,6 +100,23 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -40, 40)))
 
 
+def slopes(score: float, thresholds: np.ndarray, grade: int) -> tuple[float, float, np.ndarray]:
+    """The probability of a grade, and the derivatives of its negative logarithm by the score and by each threshold.
+
+    It is F(score - t_grade) - F(score - t_(grade + 1)), F the logistic function, t_0 and the one after the last infinitely low and high.
+    """
+    p = 1 / (1 + np.exp(np.clip(thresholds - score, -40, 40)))
+    up, down = (p[grade - 1] if grade else 1.0), (p[grade] if grade < len(thresholds) else 0.0)
+    mass = max(up - down, 1e-9)
+    by_up, by_down = up * (1 - up) / mass, down * (1 - down) / mass
+    by_threshold = np.zeros(len(thresholds))
+    if grade:
+        by_threshold[grade - 1] += by_up
+    if grade < len(thresholds):
+        by_threshold[grade] -= by_down
+    return mass, by_down - by_up, by_threshold
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, passes: int = PASSES, rate: float = 0.5, shrink: float = 1e-6) -> Model:
     """Adagrad over the rows in a fixed shuffled order. Thresholds are kept ordered by their logarithmic gaps.
 
@@ -114,22 +131,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, passes: i
             at, x = rows[i]
             t = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
             s = float(weights[at] @ x) if len(at) else 0.0
-            y = int(grades[i])
-            # probability of the grade is F(s - t_y) - F(s - t_(y+1)), F the logistic function
-            p = 1 / (1 + np.exp(np.clip(t - s, -40, 40)))
-            up, down = (p[y - 1] if y else 1.0), (p[y] if y < GRADES - 1 else 0.0)
-            mass = max(up - down, 1e-9)
-            d_up, d_down = up * (1 - up), down * (1 - down)
-            ds = (d_up - d_down) / mass
+            _, ds, dt = slopes(s, t, int(grades[i]))
             if len(at):
-                g = -ds * x + shrink * weights[at]
+                g = ds * x + shrink * weights[at]
                 squares[at] += g * g
                 weights[at] -= rate * g / np.sqrt(squares[at])
-            dt = np.zeros(GRADES - 1)
-            if y:
-                dt[y - 1] += d_up / mass
-            if y < GRADES - 1:
-                dt[y] -= d_down / mass
             g = float(dt.sum())
             g_first += g * g
             first -= 0.1 * g / g_first**0.5
@@ -147,17 +153,29 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "at": [a.astype(np.int32).tobytes() for a, _ in made], "x": [x.astype(np.float32).tobytes() for _, x in made]})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most sample rated documents, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most sample rated documents with at most sample_bytes of text, taken by a hash of the id; one that would exceed the bytes is passed over.
 
-    labels has doc_id, quality, toxic; rows with a null in any of them are left out, of ids rated more than once the lowest grade holds. Toxic documents have grade 0, others of quality 0 grade 1, the rest 2.
+    labels has doc_id, quality, toxic; rows with a null in any of them are left out, of ids rated more than once the lowest grade holds.
+    Toxic documents have grade 0, others of quality 0 grade 1, the rest 2. Of documents that share a rated id the one with the least hash of
+    the text is taken. The driver gets sample rows at most, with no more numbers than five for each word.
     """
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") < 1, 1).otherwise(2)
     rated = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    chosen = rated.orderBy(F.md5(F.concat(F.lit(SEED), F.col("doc_id").cast("string"))), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # sample rows at most
-    made = rows.mapInPandas(_features, "doc_id long, grade int, at binary, x binary").limit(4 * sample).collect()
-    made.sort(key=lambda r: (r["doc_id"], bytes(r["at"])))
+    order = F.md5(F.concat(F.lit(SEED), F.col("doc_id").cast("string")))
+    chosen = rated.orderBy(order, "doc_id").limit(sample).withColumn("place", order)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("same"))
+    sizes = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "place", "grade", "same", F.octet_length("text").cast("long").alias("size"))  # sample rows at most
+    first = sizes.groupBy("doc_id").agg(F.min(F.struct("same", "size")).alias("m"), F.first("place").alias("place"), F.first("grade").alias("grade"))
+    left, taken = sample_bytes, []
+    for r in sorted(first.collect(), key=lambda r: (r["place"], r["doc_id"])):
+        if r["m"]["size"] <= left:
+            left -= r["m"]["size"]
+            taken.append((r["doc_id"], r["m"]["same"], r["grade"]))
+    kept = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, same long, grade int"))
+    # equal rows of an id give equal features
+    made = rows.join(kept, ["doc_id", "same"]).select("doc_id", "grade", "text").mapInPandas(_features, "doc_id long, grade int, at binary, x binary").dropDuplicates(["doc_id"]).collect()
+    made.sort(key=lambda r: r["doc_id"])
     return fit([(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in made], np.array([r["grade"] for r in made]))
 
 

@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, and texts to try them on."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -158,3 +159,34 @@ TEXTS = [
     "日本語のテキスト。これは試験です。" * 20,
     "one two three four five six seven eight nine ten eleven twelve " * 2000,
 ]
+
+
+def ordinal_fit(rows, grades, features, passes, order, rate=0.5, shrink=1e-6):
+    """The classifier's descent word for word, with sparse dictionaries and plain numbers; derivatives by differences. rows: {feature: value}."""
+    w, squares = dict.fromkeys(range(features), 0.0), dict.fromkeys(range(features), 1e-3)
+    first, gap, g_first, g_gap = -1.0, 0.0, 1.0, 1.0
+
+    def loss(s, a, b, y):
+        f = lambda z: 1 / (1 + math.exp(-z))
+        return -math.log((1 - f(s - a), f(s - a) - f(s - b), f(s - b))[y])
+
+    def slope(f, x):
+        return (f(x + 1e-6) - f(x - 1e-6)) / 2e-6
+
+    for k in range(passes):
+        for i in order[k]:
+            x, y = rows[i], grades[i]
+            a, b = first, first + math.exp(gap)
+            s = sum(w[f] * v for f, v in x.items())
+            ds, da, db = slope(lambda z: loss(z, a, b, y), s), slope(lambda z: loss(s, z, b, y), a), slope(lambda z: loss(s, a, z, y), b)
+            for f, v in x.items():
+                g = ds * v + shrink * w[f]
+                squares[f] += g * g
+                w[f] -= rate * g / math.sqrt(squares[f])
+            g = da + db
+            g_first += g * g
+            first -= 0.1 * g / math.sqrt(g_first)
+            g = db * math.exp(gap)
+            g_gap += g * g
+            gap -= 0.1 * g / math.sqrt(g_gap)
+    return w, first, first + math.exp(gap)

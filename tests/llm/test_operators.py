@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
-from brute import TEXTS, components, contamination, fingerprint, licenses, places, repeats, targets, words
+from brute import TEXTS, components, contamination, fingerprint, licenses, ordinal_fit, places, repeats, targets, words
 from pyspark.sql import functions as F
 
 from skribo.llm import decontaminate, html_text, license_scan, mixing, ordinal_quality, paragraph_sketch, queries, simhash, suffix_dedup, token_counts, warc
@@ -154,6 +155,52 @@ def test_ordinal_quality(spark):
     assert len(ordinal_quality.train(docs, nulls).thresholds) == 2
 
 
+def test_ordinal_slopes():
+    """Derivatives against differences, and probabilities that add up to 1."""
+    rng = random.Random(17)
+    for _ in range(200):
+        s, t = rng.uniform(-3, 3), np.sort([rng.uniform(-3, 3) for _ in range(2)])
+        of = [ordinal_quality.slopes(s, t, y) for y in range(3)]
+        assert sum(m for m, _, _ in of) == pytest.approx(1)
+        for y, (_, ds, dt) in enumerate(of):
+            f = lambda a, b, y=y: -np.log(ordinal_quality.slopes(a, b, y)[0])
+            assert ds == pytest.approx((f(s + 1e-6, t) - f(s - 1e-6, t)) / 2e-6, abs=1e-4)
+            for k in range(2):
+                d = np.eye(2)[k] * 1e-6
+                assert dt[k] == pytest.approx((f(s, t + d) - f(s, t - d)) / 2e-6, abs=1e-4)
+
+
+def test_ordinal_fit(monkeypatch):
+    """Two passes against a plain version."""
+    monkeypatch.setattr(ordinal_quality, "FEATURES", 12)
+    rng = random.Random(18)
+    rows = [{f: rng.uniform(0.1, 1) for f in rng.sample(range(12), rng.randrange(5))} for _ in range(40)]
+    grades = np.array([rng.randrange(3) for _ in rows])
+    shuffled = np.random.default_rng(7)
+    order = [shuffled.permutation(len(rows)) for _ in range(2)]
+    model = ordinal_quality.fit([(np.array(list(r), np.int64), np.array(list(r.values()))) for r in rows], grades, passes=2)
+    w, a, b = ordinal_fit(rows, grades, 12, 2, order)
+    assert model.weights == pytest.approx(list(w.values()), abs=1e-4) and model.thresholds == pytest.approx([a, b], abs=1e-4)
+
+
+def test_ordinal_sample_is_bounded(spark):
+    """Ids that repeat, and a text above the bound on bytes, change neither the sample's size nor, with their order, the model."""
+    docs = [(k, f"{'good words here' if k % 2 else 'bad things there'} {k}", "s") for k in range(60)] + [(3, "another text", "s")] * 3 + [(61, "x " * 5000, "s")]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(62)], "doc_id long, quality int, toxic int")
+    models = [ordinal_quality.train(frame(spark, rows), labels, 50, 4000) for rows in (docs, docs[::-1])]
+    assert (models[0].weights == models[1].weights).all() and (models[0].thresholds == models[1].thresholds).all()
+    empty = ordinal_quality.train(frame(spark, docs).limit(0), labels)
+    assert ordinal_quality.score(frame(spark, docs).limit(0), empty).collect() == [] and not empty.weights.any()
+
+
+def test_token_counts_of_no_documents_and_long_ones(spark):
+    assert token_counts.token_counts(frame(spark, odd()).limit(0), queries.VOCABULARY).collect() == []
+    text = "many words of a long text, " * 40_000 + "x" * 20_000
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = token_counts.token_counts(frame(spark, [(1, text, "s")]), queries.VOCABULARY).collect()
+    assert found[0].n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_simhash(spark, documents, whole):
     rows = documents if whole else odd()
