@@ -141,6 +141,15 @@ def _row(row: tuple, after: tuple) -> tuple:
     return doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.sketch(CELLS).text(), version.sketch(CELLS).text(), likeness(own, version), likeness(own, after[3])
 
 
+def _cuts(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """Highest (id, hash) of each range but the last, in order. An id of many rows is cut by the hashes of its texts, which are spread evenly."""
+    found = rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    out = []
+    for i, n in sorted(Counter(found).items()):
+        out += [(i, -(1 << 63) + (k << 64) // n) for k in range(1, n)] + [(i, (1 << 63) - 1)]
+    return out
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
@@ -149,28 +158,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     fingerprints. Every input row gives one output row; other columns are ignored whatever their names. No docs give
     no rows.
 
-    The order is made without bringing the rows together: ids are cut into ranges of similar size, every range is
-    sorted by itself, and its neighbour's first row is sent to it too.
+    The order is made without bringing the rows together: ids are cut into ranges of similar size, four for each of
+    spark.sql.shuffle.partitions (which should grow with the data, to some 200 MB of text a partition), every range is
+    sorted by itself, and its neighbour's first row is sent to it too. Only rows equal in id and text can't be told apart, and share a range.
     """
     spark = docs.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
+    cuts = _cuts(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     if not cuts:
-        return rows.limit(0).mapInPandas(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    cuts = sorted(set(cuts))
-    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    held = F.array(*[F.lit(c) for c in cuts])
-    bucket = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.get(held, at + s - 1) < F.col("id"), at + s).otherwise(at))
-    rows = rows.select("*", F.xxhash64("text").alias("h")).withColumn("bucket", bucket)
+        return rows.limit(0).mapInPandas(_rows, schema)
+    rows = rows.select("*", F.xxhash64("text").alias("h"))
+    ids, hashes = (F.array(*[F.lit(c[k]) for c in cuts]) for k in (0, 1))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length(), -1, -1)])
+    below = lambda k: (F.get(ids, k) < F.col("id")) | (F.get(ids, k) == F.col("id")) & (F.get(hashes, k) < F.col("h"))
+    rows = rows.withColumn("bucket", F.aggregate(steps, F.lit(0), lambda at, s: F.when(below(at + s - 1), at + s).otherwise(at)))
     heads = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top")).collect()}  # one row a range
     full = sorted(heads, reverse=True)
-    before = {b: full[k - 1] for k, b in enumerate(full)}  # the range whose last row the head of b follows; of the first, the last
-    places = range(len(cuts) + 1)
-    lookup = [F.array(*[F.lit(x).cast("long") for x in xs]) for xs in ([heads[b]["id"] if b in heads else None for b in places], [heads[b]["h"] if b in heads else None for b in places], [before.get(b) for b in places])]
-    head = (F.get(lookup[0], F.col("bucket")) == F.col("id")) & (F.get(lookup[1], F.col("bucket")) == F.col("h"))
-    own = F.struct(F.col("bucket").cast("long").alias("bucket"), F.lit(False).alias("tail"))
-    tail = F.struct(F.get(lookup[2], F.col("bucket")).alias("bucket"), F.lit(True).alias("tail"))
+    # the range whose last row the head of b follows; of the first, the last
+    table = spark.createDataFrame([(b, heads[b]["id"], heads[b]["h"], full[k - 1]) for k, b in enumerate(full)], "bucket int, head_id long, head_h long, before int")
+    rows = rows.join(F.broadcast(table), "bucket")  # one row a range
+    head = (F.col("head_id") == F.col("id")) & (F.col("head_h") == F.col("h"))
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))
+    tail = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail"))
     sent = rows.withColumn("to", F.explode(F.when(head, F.array(own, tail)).otherwise(F.array(own)))).select("to.bucket", "to.tail", "id", "known", "h", "text")
     placed = sent.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("id"), F.desc("h"))
-    return placed.mapInPandas(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInPandas(_rows, schema)

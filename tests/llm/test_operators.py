@@ -112,6 +112,23 @@ def test_paragraph_sketch(spark, documents, whole):
     assert paragraph_sketch.fingerprints(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_paragraph_sketch_of_null_and_repeated_ids(spark):
+    """Half of the rows without an id, others under one id: every row is followed by the next by hash of the text."""
+    rows = [(None if k % 2 else 7 if k % 4 else k, f"text {k * k} of\nseveral lines {k}\n" * (k % 5), "s") for k in range(400)]
+    docs = frame(spark, rows)
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]), reverse=True)
+    wanted = []
+    for (i, text, _), after in zip(order, order[1:] + order[:1], strict=True):
+        edited = text[: len(text) - len(text) // 3] + after[1][: len(text) // 3]
+        wanted.append((i, hashlib.sha256(edited.encode()).hexdigest()))
+    found = paragraph_sketch.fingerprints(docs).collect()
+    same([(r.doc_id, r.edited_sha256) for r in found], wanted)
+    counts = docs.select(F.coalesce("doc_id", F.lit(paragraph_sketch._LOWEST)).alias("id"))
+    cuts = paragraph_sketch._cuts(counts, 16)
+    assert cuts == sorted(set(cuts)) and sum(c[0] == paragraph_sketch._LOWEST for c in cuts) >= 6
+
+
 def test_sketch_peels_any_difference():
     rng = random.Random(1)
     for n in (0, 1, 5, 40, 700):
