@@ -51,13 +51,6 @@ def metrics(t):
     return c.select("tp", "fp", "fn", "tn", ratio("tp", "tp + fp", "precision_"), ratio("tp", "tp + fn", "recall"), ratio("tp + tn", "tp + fp + fn + tn", "accuracy"), "median")
 
 
-@query("ag_feature_counts", "SELECT feature, count(*) AS n FROM (SELECT unnest([CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN contains(text, '@') THEN 'mail' END, CASE WHEN contains(text, '###') THEN 'symbols' END]) AS feature FROM documents) WHERE feature IS NOT NULL GROUP BY 1")
-def feature_counts(t):
-    text = F.col("text")
-    found = F.array_compact(F.array(F.when(text.contains("|"), "table"), F.when(text.contains("@"), "mail"), F.when(text.contains("###"), "symbols")))
-    return t("documents").select(F.explode(found).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
-
-
 @query("ag_page_map", "SELECT l_suppkey AS printed, min(l_orderkey) AS physical FROM lineitem GROUP BY 1")
 def page_map(t):
     return t("lineitem").groupBy(F.col("l_suppkey").alias("printed")).agg(F.min("l_orderkey").alias("physical"))

@@ -1,6 +1,6 @@
 """All queries of the library, by operator."""
 
-from skribo.plans import aggregates, files, joins, records, sets, sources, texts, windows  # noqa: F401
+from skribo.plans import aggregates, articles, files, joins, records, sets, sources, texts, windows  # noqa: F401
 from skribo.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

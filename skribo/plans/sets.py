@@ -166,15 +166,3 @@ def tags(t):
 def changes(t):
     new = F.when(F.col("c_acctbal") < 0, "DEBT").otherwise(F.col("c_mktsegment"))
     return t("customer").withColumn("new", new).where(~F.col("new").eqNullSafe(F.col("c_mktsegment"))).select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("old"), "new", F.lit("balance").alias("reason"))
-
-
-@query("sc_entities", "SELECT l_orderkey AS id, count(DISTINCT p_brand) AS brands, count(DISTINCT p_type) AS types FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
-def entities(t):
-    return t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("id")).agg(F.countDistinct("p_brand").alias("brands"), F.countDistinct("p_type").alias("types"))
-
-
-@query("sc_jsonld")
-def jsonld(t):
-    year = F.year("o_orderdate").cast("string")
-    body = F.struct(F.lit("ScholarlyArticle").alias("@type"), F.col("o_orderkey").alias("identifier"), year.alias("datePublished"), F.nullif("o_orderpriority", F.lit("")).alias("genre"))
-    return t("orders").select(F.col("o_orderkey").alias("id"), F.to_json(body).alias("jsonld"))

@@ -190,14 +190,6 @@ def dup_groups(t):
     return groups.where("n >= 2")
 
 
-@query("pf_suspicion", """SELECT doc_id, concat_ws(',', CASE WHEN length(text) > 220 AND position(chr(10) IN text) = 0 THEN 'long_title' END, CASE WHEN regexp_matches(text, '\\d+\\s*-\\s*\\d+') THEN 'embedded_pages' END, CASE WHEN position(chr(10) IN text) > 0 THEN 'multiline' END) AS reasons FROM documents
-    WHERE (length(text) > 220 AND position(chr(10) IN text) = 0) OR regexp_matches(text, '\\d+\\s*-\\s*\\d+') OR position(chr(10) IN text) > 0""")
-def suspicion(t):
-    text = F.col("text")
-    reasons = F.array_compact(F.array(F.when((F.length(text) > 220) & ~text.contains("\n"), "long_title"), F.when(text.rlike(r"\d+\s*-\s*\d+"), "embedded_pages"), F.when(text.contains("\n"), "multiline")))
-    return t("documents").select("doc_id", F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
-
-
 _CHUNKS = """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS t FROM documents),
     w AS (SELECT doc_id, t, length(t) AS n, 0::BIGINT AS a, least(3200, length(t))::BIGINT AS e FROM d WHERE t <> ''
           UNION ALL
@@ -344,35 +336,12 @@ def natural(t):
     return t("part").select(label.alias("label")).distinct().select("label", X.natural_key(F.col("label")).alias("sort_key"))
 
 
-@query("sc_volume", "SELECT DISTINCT year(o_orderdate)::BIGINT AS year, trim(printf('%s', to_roman)) AS volume FROM (SELECT o_orderdate, CASE " + " ".join(f"WHEN year(o_orderdate) = {y} THEN '{r}.'" for y, r in ((1992, "XXIII"), (1993, "XXIV"), (1994, "XXV"), (1995, "XXVI"), (1996, "XXVII"), (1997, "XXVIII"), (1998, "XXIX"), (1999, "XXX"), (2000, "XXXI"), (2001, "XXXII"))) + " END AS to_roman FROM orders)")
-def volume(t):
-    year = F.year("o_orderdate").cast("long")
-    return t("orders").select(year.alias("year")).distinct().select("year", F.concat(X.roman(F.col("year") - 1969), F.lit(".")).alias("volume"))
-
-
 @query("sc_register_term", "SELECT DISTINCT p_name AS term, trim(regexp_replace(regexp_replace(p_name, '[\\p{So}\\p{Sk}\\x{FE0F}]', '', 'g'), '\\s+', ' ', 'g'), ' ,;') AS cleaned FROM part")
 def register_term(t):
     cleaned = F.btrim(F.regexp_replace(F.regexp_replace("p_name", r"[\p{So}\p{Sk}\x{FE0F}]", ""), r"\s+", " "), F.lit(" ,;"))
     return t("part").select(F.col("p_name").alias("term"), cleaned.alias("cleaned")).distinct()
 
 
-@query("sc_visual", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(left(text, 12000)), '{p}') THEN '{n}' END" for n, p in (("license", "licen[cs]e"), ("mail", "[a-z0-9.]+@[a-z0-9.]+"), ("number", "[0-9]{3,}"), ("table", " [|] "))) + ") AS tags FROM documents")
-def visual(t):
-    """Pattern tags on the first 12,000 characters, which is the feature."""
-    head = F.lower(F.substring("text", 1, 12000))
-    rules = (("license", "licen[cs]e"), ("mail", "[a-z0-9.]+@[a-z0-9.]+"), ("number", "[0-9]{3,}"), ("table", " [|] "))
-    return t("documents").select("doc_id", F.concat_ws(",", *[F.when(head.rlike(p), n) for n, p in rules]).alias("tags"))
-
-
-@query("sc_citation", "SELECT o_orderkey AS id, c_name || ': Order ' || o_orderkey || '. ' || year(o_orderdate) || ', ' || coalesce(nullif(o_orderpriority, ''), 's. n.') || '.' AS iso690, c_name || ' (' || year(o_orderdate) || '). Order ' || o_orderkey || '.' AS apa FROM orders JOIN customer ON o_custkey = c_custkey")
-def citation(t):
-    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    year = F.year("o_orderdate").cast("string")
-    key = F.col("o_orderkey").cast("string")
-    iso = F.concat("c_name", F.lit(": Order "), key, F.lit(". "), year, F.lit(", "), F.coalesce(F.nullif("o_orderpriority", F.lit("")), F.lit("s. n.")), F.lit("."))
-    return rows.select(F.col("o_orderkey").alias("id"), iso.alias("iso690"), F.concat("c_name", F.lit(" ("), year, F.lit("). Order "), key, F.lit(".")).alias("apa"))
-
-
 @query("pf_substr_filter", f"SELECT doc_id, lang FROM documents WHERE contains({_FOLD.format('text')}, 'etion')")
 def substr_filter(t):
     return t("documents").where(X.fold(F.col("text")).contains("etion")).select("doc_id", "lang")
@@ -384,32 +353,3 @@ def identity(t):
     lang, number = F.regexp_extract("url", "/(en|de|fr|es)/", 1), F.regexp_extract("url", r"/(\d+)", 1)
     key = F.concat_ws("_", F.coalesce(F.nullif(lang, F.lit("")), F.lit("xx")), F.coalesce(F.nullif(number, F.lit("")), F.lit("0")))
     return t("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), lang.alias("lang"), number.try_cast("long").alias("number"), key.alias("issue_key"))
-
-
-@query("sc_abstract", r"""SELECT doc_id, left(array_to_string(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '[^.]+[.]?')[1:2], ''), 300) AS abstract FROM documents WHERE length(text) >= 25""")
-def abstract(t):
-    parts = F.regexp_extract_all(F.regexp_replace("text", r"\s+", " "), F.lit("[^.]+[.]?"), F.lit(0))
-    return t("documents").where(F.length("text") >= 25).select("doc_id", F.substring(F.array_join(F.slice(parts, 1, 2), ""), 1, 300).alias("abstract"))
-
-
-@query("sc_page_number", r"""SELECT doc_id, min(try_cast(l AS BIGINT)) AS first_number FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_full_match(l, '\d{1,4}') GROUP BY 1""")
-def page_number(t):
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\d{1,4}$"))
-    return t("documents").select("doc_id", F.explode(lines).alias("l")).groupBy("doc_id").agg(F.min(F.col("l").cast("long")).alias("first_number"))
-
-
-@query("sc_authors", "SELECT c_custkey AS id, regexp_extract(c_name, '#0*([0-9]+)', 1) || ', ' || split_part(c_name, '#', 1) AS register_name FROM customer")
-def authors(t):
-    name = F.concat(F.regexp_extract("c_name", "#0*([0-9]+)", 1), F.lit(", "), F.split_part("c_name", F.lit("#"), F.lit(1)))
-    return t("customer").select(F.col("c_custkey").alias("id"), name.alias("register_name"))
-
-
-@query("sc_feature_score", """SELECT doc_id, round(max(s), 3)::DOUBLE AS score, count(*) FILTER (WHERE s >= 0.38 AND s < 0.85) AS candidates, max(s) >= 0.85 AS present FROM (
-    SELECT doc_id, least(0.99, 0.42 * (l LIKE '%licen%')::INT + 0.3 * contains(l, '|')::INT + 0.18 * regexp_matches(l, '[0-9]{2}')::INT + 0.2 * (length(l) > 200)::INT) AS s FROM (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS l FROM documents)) GROUP BY 1""")
-def feature_score(t):
-    """Evidence adds up within a page (here a line); the best page decides."""
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.lower("l").alias("l"))
-    l = F.col("l")  # noqa: E741
-    s = F.lit(0.42) * l.contains("licen").cast("int") + F.lit(0.3) * l.contains("|").cast("int") + F.lit(0.18) * l.rlike("[0-9]{2}").cast("int") + F.lit(0.2) * (F.length(l) > 200).cast("int")
-    rows = lines.select("doc_id", F.least(F.lit(0.99), s).alias("s"))
-    return rows.groupBy("doc_id").agg(F.round(F.max("s"), 3).alias("score"), F.count_if((F.col("s") >= 0.38) & (F.col("s") < 0.85)).alias("candidates"), (F.max("s") >= 0.85).alias("present"))
