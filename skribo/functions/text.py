@@ -51,7 +51,17 @@ def clean_fulltext(text: Column) -> Column:
 
 
 def hidden_counts(text: Column) -> dict[str, Column]:
-    patterns = {"control_chars": r"[\p{Cc}&&[^\n\r\t\f]]", "format_chars": r"\p{Cf}", "private_use_chars": r"\p{Co}", "replacement_chars": "�", "hyphen_linebreaks": r"[\p{L}\p{N}_]-\n[\p{L}\p{N}_]", "multispace_runs": " {3,}"}
+    """Control, format, private and other hidden characters, replacement characters, words broken at a line's end, and wide gaps."""
+    word = r"[\p{L}\p{N}_]"
+    patterns = {
+        "control_chars": r"[\p{Cc}&&[^\n\r\t\f]]",
+        "format_chars": r"\p{Cf}",
+        "private_use_chars": r"\p{Co}",
+        "other_hidden_chars": r"[\p{Cn}\p{Cs}]",
+        "replacement_chars": "�",
+        "hyphen_linebreaks": rf"(?<={word})-[ \t]*\n[ \t]*(?={word})",
+        "multispace_runs": r"[ \t]{3,}",
+    }
     return {name: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).cast("long") for name, p in patterns.items()}
 
 

@@ -8,7 +8,8 @@ from skribo.functions import detection as D
 from skribo.functions import text as X
 from skribo.operators import bounds, records
 from skribo.plans.base import query
-from skribo.plans.texts import BAD_WORDS, key_sql
+from skribo.plans.audits import BAD_WORDS
+from skribo.plans.texts import key_sql
 
 _STRIP = r"regexp_replace({}, '\A\s+|\s+\z', '', 'g')"
 #: An issue is three documents; an article's title is the first eight words of its own.

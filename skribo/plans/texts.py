@@ -41,18 +41,6 @@ def clean_fulltext(t):
     return t("documents").select("doc_id", X.clean_fulltext(F.col("text")).alias("cleaned"))
 
 
-def _count(pattern: str, column: str = "text") -> str:
-    return f"len(regexp_extract_all({column}, '{pattern}'))::BIGINT"
-
-
-_HIDDEN = {"control_chars": r"[\x00-\x08\x0B\x0E-\x1F\x7F-\x{9F}]", "format_chars": r"\p{Cf}", "private_use_chars": r"\p{Co}", "replacement_chars": r"\x{FFFD}", "hyphen_linebreaks": r"[\p{L}\p{N}_]-\n[\p{L}\p{N}_]", "multispace_runs": " {3,}"}
-
-
-@query("sc_hidden_counts", "SELECT doc_id, " + ", ".join(f"{_count(p)} AS {n}" for n, p in _HIDDEN.items()) + " FROM documents")
-def hidden_counts(t):
-    return t("documents").select("doc_id", *[c.alias(n) for n, c in X.hidden_counts(F.col("text")).items()])
-
-
 @query(
     "sc_cleanup_hidden",
     r"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '\r\n|\r|\f', chr(10), 'g') t FROM documents),
@@ -65,131 +53,6 @@ def cleanup_hidden(t):
     return t("documents").select("doc_id", "text", cleaned.alias("cleaned")).select("doc_id", "cleaned", (F.length("text") - F.length("cleaned")).cast("long").alias("n_removed"), (F.col("cleaned") != F.col("text")).alias("changed"))
 
 
-#: Words that stand for those of a damaged text layer in the test tables.
-BAD_WORDS = ("idiot", "moron", "scum", "stupid", "trash")
-_BAD = ", ".join(f"'{w}'" for w in BAD_WORDS)
-_METRICS = f"""SELECT doc_id, text, length(text) AS chars, len(tokens) AS words, {_count('[áäčďéíĺľňóôŕšťúýžÁÄČĎÉÍĹĽŇÓÔŔŠŤÚÝŽ]')} AS diacritics,
-    len(list_distinct(list_filter(list_transform(tokens, lambda x: lower(x)), lambda x: x IN ({_BAD})))) AS bad_tokens
-    FROM (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS tokens FROM documents)"""
-
-
-def metrics(docs):
-    """Characters, words, letters with accents and distinct bad words of each document."""
-    words = X.runs(F.col("text"), underscore=True)
-    accents = F.regexp_count("text", F.lit("[áäčďéíĺľňóôŕšťúýžÁÄČĎÉÍĹĽŇÓÔŔŠŤÚÝŽ]"))
-    rows = docs.select("doc_id", "text", words.alias("tokens"), accents.cast("long").alias("diacritics"))
-    bad = F.array_distinct(F.filter(F.transform("tokens", F.lower), lambda x: x.isin(*BAD_WORDS)))
-    return rows.select("doc_id", "text", F.length("text").cast("long").alias("chars"), F.size("tokens").cast("long").alias("words"), "diacritics", F.size(bad).cast("long").alias("bad_tokens"))
-
-
-@query("sc_text_metrics", f"SELECT doc_id, chars, words, diacritics, bad_tokens FROM ({_METRICS})")
-def text_metrics(t):
-    return metrics(t("documents")).drop("text")
-
-
-#: Limits of the rules, and each code's severity and weight.
-LIMITS = {"chars": 300, "words": 30, "chars_per_page": 600, "words_per_page": 80, "bad": 2, "hyphens": 100, "blanks": 500, "format": 25}
-CODES = {
-    "empty_text": ("high", 300),
-    "very_short_text": ("high", 250),
-    "low_text_density": ("medium", 100),
-    "residual_bad_diacritic_tokens": ("medium", 120),
-    "replacement_characters": ("medium", 220),
-    "control_characters": ("medium", 180),
-    "private_use_characters": ("medium", 160),
-    "cleanup_format_characters": ("low", 30),
-    "cleanup_hyphen_linebreaks": ("low", 20),
-    "cleanup_multispace_layout": ("low", 10),
-}
-
-
-def classified(docs):
-    """doc_id, codes (in the order of the rules), score: every rule that a document breaks. A page is 3,000 characters here."""
-    m = metrics(docs).select("*", *[c.alias(n) for n, c in X.hidden_counts(F.col("text")).items()], F.greatest(F.lit(1), F.ceil(F.col("chars") / 3000)).alias("pages"))
-    full = F.trim("text") != ""
-    rules = {
-        "empty_text": ~full,
-        "very_short_text": full & ((F.col("chars") < LIMITS["chars"]) | (F.col("words") < LIMITS["words"])),
-        "low_text_density": full & (F.col("chars") / F.col("pages") < LIMITS["chars_per_page"]) & (F.col("words") / F.col("pages") < LIMITS["words_per_page"]),
-        "residual_bad_diacritic_tokens": F.col("bad_tokens") >= LIMITS["bad"],
-        "replacement_characters": F.col("replacement_chars") > 0,
-        "control_characters": F.col("control_chars") > 0,
-        "private_use_characters": F.col("private_use_chars") > 0,
-        "cleanup_format_characters": F.col("format_chars") >= LIMITS["format"],
-        "cleanup_hyphen_linebreaks": F.col("hyphen_linebreaks") >= LIMITS["hyphens"],
-        "cleanup_multispace_layout": F.col("multispace_runs") >= LIMITS["blanks"],
-    }
-    score = sum((F.when(c, F.lit(CODES[n][1])).otherwise(0) for n, c in rules.items()), F.lit(0))
-    return m.select("doc_id", "chars", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])).alias("codes"), score.cast("long").alias("score"))
-
-
-_RULES = {
-    "empty_text": "trim(text) = ''",
-    "very_short_text": "trim(text) <> '' AND (chars < 300 OR words < 30)",
-    "low_text_density": "trim(text) <> '' AND chars / pages < 600 AND words / pages < 80",
-    "residual_bad_diacritic_tokens": "bad_tokens >= 2",
-    "replacement_characters": "replacement_chars > 0",
-    "control_characters": "control_chars > 0",
-    "private_use_characters": "private_use_chars > 0",
-    "cleanup_format_characters": "format_chars >= 25",
-    "cleanup_hyphen_linebreaks": "hyphen_linebreaks >= 100",
-    "cleanup_multispace_layout": "multispace_runs >= 500",
-}
-_CLASSIFIED = f"""SELECT doc_id, chars, list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULES.items())}], lambda x: x IS NOT NULL) AS codes,
-    ({' + '.join(f"CASE WHEN {c} THEN {CODES[n][1]} ELSE 0 END" for n, c in _RULES.items())})::BIGINT AS score
-    FROM (SELECT m.*, greatest(1, ceil(chars / 3000)) AS pages, {', '.join(f"{_count(p)} AS {n}" for n, p in _HIDDEN.items())} FROM ({_METRICS}) m)"""
-
-
-@query("sc_classify", f"SELECT doc_id, array_to_string(codes, ',') AS codes, score FROM ({_CLASSIFIED})")
-def classify(t):
-    return classified(t("documents")).select("doc_id", F.array_join("codes", ",").alias("codes"), "score")
-
-
-@query("ag_audit_summary", f"SELECT code, count(*) AS n, sum(score)::BIGINT AS total_score FROM (SELECT unnest(codes) AS code, score FROM ({_CLASSIFIED})) GROUP BY code")
-def audit_summary(t):
-    return classified(t("documents")).select(F.explode("codes").alias("code"), "score").groupBy("code").agg(F.count("*").alias("n"), F.sum("score").alias("total_score"))
-
-
-_SEVERITY = "CASE " + " ".join(f"WHEN code = '{n}' THEN {dict(high=100, medium=50, low=10)[s]}" for n, (s, _) in CODES.items()) + " END"
-
-
-def severity(code):
-    out = F.when(F.lit(False), 0)
-    for n, (s, _) in CODES.items():
-        out = out.when(code == n, {"high": 100, "medium": 50, "low": 10}[s])
-    return out
-
-
-@query("so_incidents", f"""SELECT doc_id, code AS primary_code, severity::BIGINT AS severity, score, row_number() OVER (ORDER BY score DESC, severity DESC, doc_id) AS place
-    FROM (SELECT doc_id, code, score, {_SEVERITY} AS severity, row_number() OVER (PARTITION BY doc_id ORDER BY {_SEVERITY} DESC, code DESC) AS k FROM (SELECT doc_id, score, unnest(codes) AS code FROM ({_CLASSIFIED}))) WHERE k = 1
-    ORDER BY place LIMIT 100""")
-def incidents(t):
-    """The hundred most urgent incidents: a report of fixed length."""
-    from pyspark.sql import Window
-
-    main = F.array_max(F.transform("codes", lambda c: F.struct(severity(c).alias("severity"), c.alias("code"))))
-    rows = classified(t("documents")).where(F.size("codes") > 0).select("doc_id", main.alias("m"), "score")
-    top = rows.select("doc_id", F.col("m.code").alias("primary_code"), F.col("m.severity").cast("long").alias("severity"), "score").orderBy(F.desc("score"), F.desc("severity"), "doc_id").limit(100)
-    return top.select("*", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("severity"), "doc_id")).cast("long").alias("place"))
-
-
-@query("ag_queue_summary", f"""SELECT coalesce(l.toxic, 0)::BIGINT AS state, count(*) AS incidents, max(score) AS max_score, min(doc_id) AS first_id, count(*) FILTER (WHERE len(codes) > 1) AS several
-    FROM ({_CLASSIFIED}) c LEFT JOIN labels l USING (doc_id) WHERE len(codes) > 0 GROUP BY 1""")
-def queue_summary(t):
-    rows = classified(t("documents")).where(F.size("codes") > 0).join(t("labels").select("doc_id", "toxic"), "doc_id", "left")
-    return rows.groupBy(F.coalesce("toxic", F.lit(0)).cast("long").alias("state")).agg(F.count("*").alias("incidents"), F.max("score").alias("max_score"), F.min("doc_id").alias("first_id"), F.count_if(F.size("codes") > 1).alias("several"))
-
-
-@query("ag_dup_groups", """WITH n AS (SELECT doc_id, length(text) AS chars, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS t FROM documents)
-    SELECT sha1(t) AS hash, count(*) AS n, max(chars)::BIGINT AS chars, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM n WHERE length(t) >= 500 GROUP BY 1 HAVING count(*) >= 2""")
-def dup_groups(t):
-    """Exact duplicates after folding white space and case, of 500 characters at least."""
-    norm = F.replace(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), F.lit("ß"), F.lit("ss"))
-    rows = t("documents").select("doc_id", F.length("text").cast("long").alias("chars"), norm.alias("t")).where(F.length("t") >= 500).select("doc_id", "chars", F.sha1("t").alias("hash"))
-    groups = rows.groupBy("hash").agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return groups.where("n >= 2")
-
-
 _CHUNKS = """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS t FROM documents),
     w AS (SELECT doc_id, t, length(t) AS n, 0::BIGINT AS a, least(3200, length(t))::BIGINT AS e FROM d WHERE t <> ''
           UNION ALL
