@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skribo.functions import articles as A
 from skribo.functions import features as P
 from skribo.functions import text as X
-from skribo.plans.base import query
-from skribo.plans.texts import _FOLD, key_sql
+from skribo.operators import ranking
+from skribo.operators.numbering import numbered
+from skribo.plans.base import index_of, query
+from skribo.plans.texts import _FOLD, WIDE_PREFIXES, _bm25_sql, documents_index, key_sql
 
 #: Stand-ins for what the documents lack, by their ids: texts of pages, of models' answers, and titles.
 PHRASES = (
@@ -326,3 +328,109 @@ def volume(t):
     by_year = F.concat(X.roman(F.col("year") - A.YEAR_ZERO), F.lit("."))
     filled = A.filled_volume(F.col("volume"), F.col("year"), told, F.col("id") % 12 == 4)
     return articles(t).select("id", "year", "volume", filled.alias("filled"), by_year.alias("by_year"), A.roman_value(by_year).alias("value"))
+
+
+#: What a hit among an article's entities counts, and one in its fields.
+ENTITY_HIT, FIELD_HIT = -20.0, -5.0
+#: The fields that a term is looked for in.
+METADATA = ("title", "abstract", "summary", "caves", "keywords", "tags", "groups", "locations", "people", "themes", "authors")
+
+
+def query_terms(spark, question: str, generic: tuple[str, ...] = ()) -> list[str]:
+    """The folded question itself and its tokens of more than one letter, without generic ones unless there are no others."""
+    whole = spark.range(1).select(X.normalize_key(F.lit(question)).alias("k")).first()["k"]
+    tokens = [w for w in whole.split(" ") if len(w) > 1]
+    terms = [w for w in tokens if w not in generic] or tokens
+    return list(dict.fromkeys([whole, *terms])) if whole else terms
+
+
+def metadata_scores(rows: DataFrame, names: DataFrame, fields: dict[str, Column], terms: list[str]) -> DataFrame:
+    """id, score: the least of ENTITY_HIT where a folded name of an article's entities holds a term, and FIELD_HIT where a field, in lower case, does.
+
+    rows: id and what the fields need; names: id, name.
+    """
+    some = lambda c: F.exists(F.array(*[F.lit(w) for w in terms]), lambda w: F.contains(c, w))
+    entity = names.where(some(X.normalize_key(F.col("name")))).select("id", F.lit(ENTITY_HIT).alias("score"))
+    low = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in fields.values()])
+    field = rows.where(F.exists(low, some)).select("id", F.lit(FIELD_HIT).alias("score"))
+    return entity.unionByName(field).groupBy("id").agg(F.min("score").alias("score"))
+
+
+TERMS_OF, GENERIC = "The tione ment of", ("the", "of")
+
+
+def _metadata_fields() -> dict[str, Column]:
+    strings = {"title", "abstract", "summary"}
+    return {n: F.col(n) if n in strings else A.authors_label(F.col(n)) if n == "authors" else F.to_json(F.col("tags" if n == "themes" else n)) for n in METADATA}
+
+
+_TERM_LIST = "['the tione ment of', 'tione', 'ment']"
+_HOLDS = "len(list_filter(" + _TERM_LIST + ", lambda w: contains({}, w))) > 0"
+_FIELDS_SQL = [n if n in ("title", "abstract", "summary") else _WHO if n == "authors" else f"to_json({'tags' if n == 'themes' else n})::VARCHAR" for n in METADATA]
+_METADATA_SQL = f"""WITH a AS ({ARTICLES}), e AS ({_entities_sql()}), hits AS (SELECT id, {ENTITY_HIT} AS score FROM e WHERE {_HOLDS.format(key_sql('name'))} UNION ALL SELECT id, {FIELD_HIT} FROM a WHERE {' OR '.join(_HOLDS.format(f'lower({f})') for f in _FIELDS_SQL)})"""
+
+
+def metadata_of(t) -> DataFrame:
+    rows = articles(t)
+    return metadata_scores(rows, entity_rows(rows).select("id", "name"), _metadata_fields(), query_terms(t("documents").sparkSession, TERMS_OF, GENERIC))
+
+
+@query("se_metadata", _METADATA_SQL + " SELECT id, min(score)::DOUBLE AS score FROM hits GROUP BY 1")
+def metadata(t):
+    return metadata_of(t)
+
+
+@query("st_score_union", _METADATA_SQL + f" SELECT id, round(min(score), 9)::DOUBLE AS score FROM (SELECT * FROM hits UNION ALL SELECT doc_id, score FROM ({_bm25_sql(WIDE_PREFIXES, 'all')})) GROUP BY 1")
+def score_union(t):
+    """The best of what the full text and the metadata score."""
+    index = documents_index(t)
+    text = ranking.bm25(index, WIDE_PREFIXES, "all").select(F.col("doc_id").alias("id"), "score")
+    return metadata_of(t).unionByName(text).groupBy("id").agg(F.round(F.min("score"), 9).alias("score"))
+
+
+#: The fields of the browser's search and their boosts.
+MINI_FIELDS = ("title", "authors", "abstract", "year", "volume", "issue", "tags", "caves", "groups")
+BOOSTS = {"title": 4, "caves": 3, "authors": 2, "tags": 2, "groups": 2, "abstract": 1}
+MINI_WORDS = ["this", "mentt", "src1"]
+
+
+def mini_index(t) -> ranking.Index:
+    return index_of("articles", [t("documents"), t("labels")], lambda: (articles(t), "id", {n: F.col(n) for n in MINI_FIELDS}))
+
+
+def _mini_sql() -> str:
+    value = lambda n: f"{n}::VARCHAR" if n in ("year", "volume", "issue", "title", "abstract") else joined_sql(n, " ")
+    fields = " UNION ALL ".join(f"SELECT id, '{n}' AS field, list_filter(regexp_split_to_array({_FOLD.format(value(n))}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM a" for n in MINI_FIELDS)
+    most = {w: min(6, int(0.1 * len(w) + 0.5)) for w in MINI_WORDS}
+    weight = " + ".join(
+        f"coalesce(CASE WHEN token = '{w}' THEN 1.0::DOUBLE WHEN starts_with(token, '{w}') THEN 0.375 * length(token)::DOUBLE / (length(token) + 0.3 * (length(token) - {len(w)})) WHEN levenshtein(token, '{w}') <= {most[w]} THEN 0.45 * length(token)::DOUBLE / (length(token) + levenshtein(token, '{w}')) END, 0.0)"
+        for w in MINI_WORDS
+    )
+    boost = "CASE field " + " ".join(f"WHEN '{n}' THEN {b}.0" for n, b in BOOSTS.items()) + " ELSE 1.0 END"
+    return f"""WITH a AS ({ARTICLES}), f AS ({fields}), p AS (SELECT id, field, len(list_distinct(t)) AS n, unnest(t) AS token FROM f), q AS (SELECT id, field, n, token, count(*)::DOUBLE AS tf FROM p GROUP BY 1, 2, 3, 4),
+    m AS (SELECT field, sum(len(list_distinct(t)))::DOUBLE / count(*) AS mean, count(*)::DOUBLE AS docs FROM f GROUP BY 1), h AS (SELECT field, token, count(*)::DOUBLE AS having_, {weight} AS w FROM q GROUP BY 1, 2)
+    SELECT id, round(sum(w * {boost} * ln(1 + (docs - having_ + 0.5) / (having_ + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * n / mean)))), 6) AS score FROM q JOIN h USING (field, token) JOIN m USING (field) WHERE w > 0 GROUP BY 1"""
+
+
+@query("se_mini", _mini_sql())
+def mini(t):
+    """The browser's search: any word, in nine fields with boosts, by prefix and nearly."""
+    return ranking.fielded(mini_index(t), MINI_WORDS, BOOSTS).select("id", F.round("score", 6).alias("score"))
+
+
+@query("pf_web_filter", _mini_sql().replace(" SELECT id, round(", ", z AS (SELECT id, round(", 1) + f") SELECT y.id, row_number() OVER (ORDER BY has_map_plan DESC, year DESC, y.id DESC) AS place FROM a y WHERE (y.id IN (SELECT id FROM z) OR y.id IN (SELECT doc_id FROM ({_bm25_sql(WIDE_PREFIXES, 'all')}))) AND year BETWEEN 1975 AND 2015 AND {_JOURNAL} IN ('src0', 'src1', 'src2', 'src3')")
+def web_filter(t):
+    """Hits of the fields and of the full text, of some journals and years, in the order in which a page shows them: relevance decides membership alone."""
+    hits = ranking.fielded(mini_index(t), MINI_WORDS, BOOSTS).select("id").unionByName(ranking.bm25(documents_index(t), WIDE_PREFIXES, "all").select(F.col("doc_id").alias("id")))
+    return shown(articles(t), hits, years=(1975, 2015), journals=("src0", "src1", "src2", "src3"))
+
+
+def shown(rows: DataFrame, hits: DataFrame, years: tuple[int, int], journals: tuple[str, ...] = (), maps_only: bool = False) -> DataFrame:
+    """id, place: the articles of hits within years and journals (all if there are none), those with maps first, then the latest, then the highest ids."""
+    kept = rows.where(F.col("year").between(*years))
+    if journals:
+        kept = kept.where(F.coalesce("journal_id", F.lit(JOURNAL)).isin(*journals))
+    if maps_only:
+        kept = kept.where("has_map_plan")
+    kept = kept.join(hits, "id", "left_semi").select("id", "has_map_plan", "year")
+    return numbered(kept, [F.desc("has_map_plan"), F.desc("year"), F.desc("id")], "place").select("id", "place")

@@ -101,26 +101,11 @@ def validate_decision(t):
     return t("events").select("event_id", F.when(ok, "match").otherwise("defer").alias("decision"), F.when(ok, F.col("user_id").cast("string")).otherwise("").alias("key"))
 
 
-@query("pf_web_filter", "SELECT doc_id FROM documents WHERE (contains(text, 'stupid') OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AND n_chars BETWEEN 100 AND 5000")
-def web_filter(t):
-    d = t("documents").where("n_chars BETWEEN 100 AND 5000")
-    hits = t("documents").where(F.col("text").contains("stupid")).select("doc_id").union(t("labels").where("toxic = 1").select("doc_id"))
-    return d.join(hits, "doc_id", "left_semi").select("doc_id")
-
-
 @query("se_shard_prune", "SELECT source AS journal, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') AND lang <> 'en' GROUP BY 1")
 def shard_prune(t):
     return t("documents").where(F.col("source").isin("src1", "src2") & (F.col("lang") != "en")).groupBy(F.col("source").alias("journal")).agg(F.count("*").alias("n"))
 
 
-@query("se_mini", "SELECT p_partkey AS id, (4 * (starts_with(lower(p_name), 'p'))::INT + 3 * (contains(lower(p_type), 'st'))::INT + 2 * (levenshtein(lower(p_brand), 'brand#12') <= 1)::INT)::BIGINT AS score FROM part WHERE starts_with(lower(p_name), 'p') OR contains(lower(p_type), 'st') OR levenshtein(lower(p_brand), 'brand#12') <= 1")
-def mini(t):
-    """Fields weigh by their boost; prefix, substring and near matches count."""
-    name, kind, brand = F.lower("p_name").startswith("p"), F.lower("p_type").contains("st"), F.levenshtein(F.lower("p_brand"), F.lit("brand#12")) <= 1
-    score = 4 * name.cast("long") + 3 * kind.cast("long") + 2 * brand.cast("long")
-    return t("part").where(name | kind | brand).select(F.col("p_partkey").alias("id"), score.alias("score"))
-
-
 @query("dm_upsert_entity", f"SELECT {key_sql('p_brand')} AS key, arg_max(p_brand, p_partkey) AS name, arg_max(p_type, p_partkey) FILTER (WHERE p_size > 25) AS link, count(*) AS n FROM part GROUP BY 1")
 def upsert_entity(t):
     """The latest spelling and the latest link that there is."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skribo.functions import text as X
 from skribo.operators import chunks, ranking
-from skribo.plans.base import query
+from skribo.plans.base import index_of, query
 
 #: DuckDB's form of folding.
 _FOLD = "replace(lower(strip_accents({})), 'ß', 'ss')"
@@ -64,7 +64,7 @@ _CUT = "CASE WHEN e < n AND greatest(" + ", ".join(_LAST.format(m) for m in ("\n
 _CHUNKS = _CHUNKS.replace("{cut}", _CUT)
 
 
-@query("sc_chunk", _CHUNKS + " SELECT doc_id, ordinal, start_char, end_char, text, len(regexp_extract_all(text, '\\S+'))::BIGINT AS word_count FROM chunks")
+@query("sc_chunk", _CHUNKS + " SELECT doc_id, ordinal, start_char, end_char, text, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))::BIGINT AS word_count FROM chunks")
 def chunk(t):
     return chunks.chunk(t("documents"))
 
@@ -89,17 +89,24 @@ def reassemble(t):
     return chunks.reassemble(chunks.chunk(t("documents")))
 
 
-def _bm25_sql(prefixes: list[str], every: bool, source: str = "documents", key: str = "doc_id") -> str:
+def _bm25_sql(prefixes: list[str], mode: str, source: str = "documents", key: str = "doc_id") -> str:
+    tokens = f"list_filter(regexp_split_to_array({_FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     counts = ", ".join(f"len(list_filter(t, lambda x: starts_with(x, '{p}')))::DOUBLE AS f{k}" for k, p in enumerate(prefixes))
+    every, some = (by.join(f"f{k} > 0" for k in range(len(prefixes))) for by in (" AND ", " OR "))
     totals = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS d{k}" for k in range(len(prefixes)))
     score = " + ".join(f"greatest(ln((docs - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * n / mean))" for k in range(len(prefixes)))
-    found = (" AND " if every else " OR ").join(f"f{k} > 0" for k in range(len(prefixes)))
-    return f"""SELECT {key}, -({score}) AS score FROM (SELECT {key}, len(t) AS n, {counts} FROM (SELECT {key}, list_filter(regexp_split_to_array({_FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {source})) c,
-        (SELECT count(*) AS docs, avg(n) AS mean, {totals} FROM (SELECT len(t) AS n, {counts} FROM (SELECT list_filter(regexp_split_to_array({_FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {source}))) WHERE {found}"""
+    found = {"any": some, "all": every, "first_all": f"CASE WHEN whole > 0 THEN {every} ELSE {some} END"}[mode]
+    return f"""SELECT {key}, -({score}) AS score FROM (SELECT {key}, len(t) AS n, {counts} FROM (SELECT {key}, {tokens} AS t FROM {source})) c,
+        (SELECT count(*) AS docs, avg(n) AS mean, {totals}, count(*) FILTER (WHERE {every}) AS whole FROM (SELECT len(t) AS n, {counts} FROM (SELECT {tokens} AS t FROM {source}))) WHERE {found}"""
 
 
-#: The query that the search operators answer on the test tables, and its prefixes.
-QUESTION, PREFIXES = "thereou trash Mêntation", ["there", "trash", "mentation"]
+#: Questions that the search operators answer on the test tables, with their prefixes; no document has all of the first one's.
+QUESTION, PREFIXES = "Thisa fromy Mêntation", ["this", "from", "mentation"]
+WIDE, WIDE_PREFIXES = "thisa fromy", ["this", "from"]
+
+
+def documents_index(t) -> ranking.Index:
+    return index_of("documents", [t("documents")], lambda: (t("documents"), "doc_id", {"text": F.col("text")}))
 
 
 @query("se_tokenize", f"SELECT doc_id, list_aggregate(list_transform(list_filter(string_split({key_sql('text')}, ' '), lambda x: length(x) > 1)[1:5], lambda x: x), 'string_agg', ' ') AS tokens FROM documents WHERE length({key_sql('text')}) > 1 AND len(list_filter(string_split({key_sql('text')}, ' '), lambda x: length(x) > 1)) > 0")
@@ -114,50 +121,34 @@ def stem(t):
     return words.select("token", X.search_prefix(F.col("token")).alias("prefix"))
 
 
-@query("se_bm25", f"SELECT doc_id, round(score, 9) AS score FROM ({_bm25_sql(['thi', 'stat', 'reth'], False)}) ORDER BY score, doc_id LIMIT 10")
+@query("se_bm25", f"SELECT doc_id, round(score, 9) AS score FROM ({_bm25_sql(PREFIXES, 'first_all')}) ORDER BY score, doc_id LIMIT 10")
 def bm25(t):
-    docs = t("documents")
-    return ranking.bm25(docs, "doc_id", "text", ["thi", "stat", "reth"]).orderBy("score", "doc_id").limit(10).select("doc_id", F.round("score", 9).alias("score"))
+    """The ten best documents for a question: those with all of its words, or with any where none has all."""
+    index = documents_index(t)
+    found = ranking.bm25(index, ranking.query_prefixes(index.postings.sparkSession, QUESTION), "first_all")
+    return found.orderBy("score", "doc_id").limit(10).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("jn_fts", f"SELECT s.doc_id, lang, source, round(score, 9) AS score FROM ({_bm25_sql(['thi', 'stat'], True)}) s JOIN documents d USING (doc_id)")
+@query("jn_fts", f"SELECT s.doc_id, lang, source, round(score, 9) AS score FROM ({_bm25_sql(WIDE_PREFIXES, 'all')}) s JOIN documents d USING (doc_id)")
 def fts(t):
-    docs = t("documents")
-    return ranking.bm25(docs, "doc_id", "text", ["thi", "stat"], True).join(docs.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "lang", "source", F.round("score", 9).alias("score"))
+    """Scored hits with their articles."""
+    index = documents_index(t)
+    found = ranking.bm25(index, ranking.query_prefixes(index.postings.sparkSession, WIDE), "all")
+    return found.join(t("documents").select("doc_id", "lang", "source"), "doc_id").select("doc_id", "lang", "source", F.round("score", 9).alias("score"))
 
 
-_TURNS = _bm25_sql(["thi", "er"], False, "(SELECT conv_id, conv_id * 1000 + turn AS tid, text FROM conversations)", "tid")
+_TURNS = _bm25_sql(WIDE_PREFIXES, "first_all", "(SELECT conv_id * 1000 + turn AS tid, text FROM conversations)", "tid")
 
 
 @query("ag_min_score", f"SELECT tid // 1000 AS conv_id, round(min(score), 9) AS best, count(*) AS n FROM ({_TURNS}) GROUP BY 1")
 def min_score(t):
-    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("tid"), "text")
-    scored = ranking.bm25(turns, "tid", "text", ["thi", "er"])
+    """The best score of each conversation's turns."""
+    turns = lambda: t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("tid"), "text")
+    index = index_of("turns", [t("conversations")], lambda: (turns(), "tid", {"text": F.col("text")}))
+    scored = ranking.bm25(index, WIDE_PREFIXES, "first_all")
     return scored.groupBy(F.floor(F.col("tid") / 1000).cast("long").alias("conv_id")).agg(F.round(F.min("score"), 9).alias("best"), F.count("*").alias("n"))
 
 
-_META = "SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL AND l.toxic = 1 THEN -20.0 ELSE -5.0 END AS score FROM documents LEFT JOIN labels l USING (doc_id) WHERE l.toxic = 1 OR lower(text) LIKE '%stupid%'"
-
-
-def metadata_scores(docs, labels, term):
-    """-20 for a hit among the entities (here the labels), -5 for one in the text; the least counts."""
-    entity = labels.where("toxic = 1").select("doc_id", F.lit(-20.0).alias("score"))
-    text = docs.where(F.lower("text").contains(term)).select("doc_id", F.lit(-5.0).alias("score"))
-    return entity.unionByName(text).groupBy("doc_id").agg(F.min("score").alias("score"))
-
-
-@query("se_metadata", "SELECT doc_id, min(score)::DOUBLE AS score FROM (SELECT doc_id, -20.0 AS score FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, -5.0 FROM documents WHERE contains(lower(text), 'stupid')) GROUP BY 1")
-def metadata(t):
-    return metadata_scores(t("documents"), t("labels"), "stupid")
-
-
-@query("st_score_union", f"SELECT doc_id, round(min(score), 9)::DOUBLE AS score FROM (SELECT doc_id, -20.0::DOUBLE AS score FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, -5.0::DOUBLE FROM documents WHERE contains(lower(text), 'stupid') UNION ALL {_bm25_sql(['thi', 'stat'], False)}) GROUP BY 1")
-def score_union(t):
-    docs = t("documents")
-    both = metadata_scores(docs, t("labels"), "stupid").unionByName(ranking.bm25(docs, "doc_id", "text", ["thi", "stat"]))
-    return both.groupBy("doc_id").agg(F.round(F.min("score"), 9).alias("score"))
-
-
 @query("sc_pages", r"""SELECT o_orderkey AS id, pages, try_cast(nullif(regexp_extract(pages, '^\s*(\d+)', 1), '') AS BIGINT) AS first_page,
     greatest(try_cast(nullif(regexp_extract(pages, '^\s*(\d+)', 1), '') AS BIGINT), coalesce(try_cast(nullif(regexp_extract(pages, '^\s*\d+\s*-\s*(\d+)', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(pages, '^\s*(\d+)', 1), '') AS BIGINT))) AS last_page
     FROM (SELECT o_orderkey, (o_custkey % 90)::VARCHAR || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-' || (o_custkey % 97)::VARCHAR ELSE ' s.' END AS pages FROM orders)""")

@@ -30,8 +30,10 @@ def tail(rows: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
-    """Replaces the files at the path when all are written."""
-    rows.write.mode("overwrite").json(path)
+    """Replaces the files at the path when all are written: they are written beside it, and renamed."""
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rows.write.json(new)
+    replace_folder(rows.sparkSession, new, path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -57,6 +59,46 @@ def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(shifts, ["file", "block"]).select("file", (F.col("at") - F.col("least") + F.col("shift") + 1).alias("line"), F.col("value").alias("text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset in local mode, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="skribo-")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='skribo-')}/{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read back: a cut in the lineage that lost executors don't undo."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """A written folder takes the place of another one: readers see the old files or the new ones, and the old ones go last.
+
+    If the second renaming fails, the old files are back.
+    """
+    fs, source = _files(spark, new)
+    _, target = _files(spark, path)
+    _, old = _files(spark, f"{path}.old-{uuid.uuid4().hex}")
+    had = fs.exists(target)
+    fs.mkdirs(target.getParent())
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(source, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{new} can't be renamed to {path}")
+    if had:
+        fs.delete(old, True)
