@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,9 +17,9 @@ def fulltext(t):
     return t("documents").select("doc_id", "lang").join(last, "doc_id", "left").select("doc_id", "lang", F.col("quality").cast("long").alias("quality"), F.coalesce("state", F.lit("missing")).alias("state"))
 
 
-@query("jn_entity_timeline", "SELECT p_brand AS entity, l_returnflag AS relation, o_orderkey AS article, year(o_orderdate)::BIGINT AS year FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_size <= 5")
+@query("jn_entity_timeline", "SELECT p_brand AS entity, l_returnflag AS relation, o_orderkey AS article, year(o_orderdate)::BIGINT AS year FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey")
 def entity_timeline(t):
-    rows = t("lineitem").join(t("part").where("p_size <= 5"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(F.col("p_brand").alias("entity"), F.col("l_returnflag").alias("relation"), F.col("o_orderkey").alias("article"), F.year("o_orderdate").cast("long").alias("year"))
 
 
@@ -37,14 +34,6 @@ def anti_resume(t):
     return t("documents").join(t("labels").where("quality = 1"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("jn_full_outer_recon", """SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'orphan' ELSE 'matched' END AS state
-    FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) d FULL JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
-def full_outer(t):
-    d = t("documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("d"))
-    both = d.join(t("labels").select(F.col("doc_id").alias("l")), F.col("d") == F.col("l"), "full")
-    return both.select(F.coalesce("d", "l").alias("id"), F.when(F.col("l").isNull(), "missing").when(F.col("d").isNull(), "orphan").otherwise("matched").alias("state"))
-
-
 _SPANS = "SELECT l_orderkey AS issue, l_linenumber AS article, min(l_partkey % 40) AS first, min(l_partkey % 40) + min(l_quantity)::BIGINT % 9 AS last FROM lineitem GROUP BY 1, 2"
 
 
@@ -61,16 +50,6 @@ def range_page(t):
     return spans(t("lineitem")).join(pages, "issue").where(F.col("page").between(F.col("first"), F.col("last"))).select("issue", F.col("page").cast("long").alias("page"), F.col("article").cast("long").alias("article"))
 
 
-@query("jn_asof_page", f"SELECT p.issue, p.page::BIGINT AS page, arg_max(s.article, (s.first, -s.article))::BIGINT AS article FROM ({_SPANS}) s JOIN (SELECT o_orderkey AS issue, o_custkey % 40 AS page FROM orders) p ON s.issue = p.issue AND s.first <= p.page GROUP BY 1, 2")
-def asof_page(t):
-    """The article with the greatest start up to the page, the least number of ties: a union in page order and the last start seen."""
-    starts = spans(t("lineitem")).groupBy("issue", F.col("first").alias("page")).agg(F.min("article").alias("article")).withColumn("kind", F.lit(0))
-    pages = t("orders").select(F.col("o_orderkey").alias("issue"), (F.col("o_custkey") % 40).alias("page"), F.lit(None).cast("int").alias("article"), F.lit(1).alias("kind"))
-    last = F.last("article", ignorenulls=True).over(Window.partitionBy("issue").orderBy("page", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = starts.unionByName(pages).withColumn("found", last).where("kind = 1 AND found IS NOT NULL")
-    return found.select("issue", F.col("page").cast("long").alias("page"), F.col("found").cast("long").alias("article"))
-
-
 @query("jn_asof_map", """WITH m AS (SELECT l_orderkey AS issue, l_linenumber * 3 AS printed, min(l_partkey % 50) AS physical FROM lineitem GROUP BY 1, 2), p AS (SELECT o_orderkey AS issue, (o_custkey % 25)::BIGINT AS page FROM orders)
     SELECT issue, page, coalesce((SELECT arg_max(physical + page - printed, printed) FROM m WHERE m.issue = p.issue AND printed <= page), (SELECT CASE WHEN count(*) > 0 THEN greatest(1, arg_min(physical - (printed - page), printed)) END FROM m WHERE m.issue = p.issue AND printed > page), greatest(1, page + 2))::BIGINT AS physical FROM p""")
 def asof_map(t):
@@ -110,65 +89,6 @@ def unique_lookup(t):
     return sets.where(F.size("b") == 1).select("name", F.element_at("b", 1).alias("brand"))
 
 
-@query("jn_override", """SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 50 = 0 THEN 'article:' || c_custkey END, CASE WHEN n_name IS NOT NULL AND c_custkey % 5 = 0 THEN 'area:' || n_name END, 'plain:' || c_mktsegment) AS target
-    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
-def override(t):
-    """The most specific override that there is: of the article, of the area, of the name."""
-    c, n = t("customer"), t("nation")
-    article = c.where("c_custkey % 50 = 0").select("c_custkey", F.concat(F.lit("article:"), F.col("c_custkey").cast("string")).alias("a"))
-    rows = c.join(article, "c_custkey", "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    area = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("area:"), "n_name"))
-    return rows.select(F.col("c_custkey").alias("id"), F.coalesce("a", area, F.concat(F.lit("plain:"), "c_mktsegment")).alias("target"))
-
-
-@query("jn_pattern", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def pattern(t):
-    """Passages in documents: the longest word of a passage blocks, the whole passage verifies."""
-    longest = F.array_max(F.transform(F.split("text", r"[^\p{L}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    passages = t("benchmark").select("item_id", F.col("text").alias("passage"), longest["w"].alias("word"))
-    docs = t("documents")
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")).join(passages, "word").select("item_id", "doc_id", "passage")
-    return held.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-
-
-def similarity(a, b):
-    """Ratcliff-Obershelp ratio of two string columns."""
-
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)])
-
-    return ratio(a, b)
-
-
-def can_be_alike(a, b, least):
-    """Whether the lengths of two string columns allow a similarity, rounded to four places, of least."""
-    return 2 * F.least(F.length(a), F.length(b)) >= (least - 1e-4) * (F.length(a) + F.length(b))
-
-
-@query("sc_similarity")
-def similarities(t):
-    s = t("supplier")
-    return s.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.round(similarity(F.lower("s_name"), F.lower("n_name")), 6).alias("ratio"))
-
-
-@query("jn_fuzzy")
-def fuzzy(t):
-    """Names that share a token with a candidate, the twelve most alike from 0.58 on."""
-    p = t("part").select("p_name").distinct()
-    token = F.explode(F.array_distinct(F.split(X.normalize_key(F.col("p_name")), " ")))
-    left = p.select(F.col("p_name").alias("name"), token.alias("token"))
-    pairs = left.join(p.select(F.col("p_name").alias("candidate"), token.alias("token")), "token").where(can_be_alike(F.lower("name"), F.lower("candidate"), 0.58)).select("name", "candidate").distinct()
-    scored = pairs.select("name", "candidate", F.round(similarity(F.lower("name"), F.lower("candidate")), 4).alias("score")).where("score >= 0.58")
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "candidate"))).where("place <= 12")
-
-
-@query("jn_geo", "SELECT s_suppkey AS id, coalesce(nullif(trim(r_name), ''), n_name, '?') AS area, n_name AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
-def geo(t):
-    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select(F.col("s_suppkey").alias("id"), F.coalesce(F.nullif(F.trim("r_name"), F.lit("")), "n_name", F.lit("?")).alias("area"), F.col("n_name").alias("nation"))
-
-
 @query("jn_best_candidates", """SELECT l_orderkey AS key, l_linenumber::BIGINT AS best, (n - 1) AS alternatives FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_tax, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE k = 1""")
 def best_candidates(t):
     """The best source of each key and how many others there are, as one aggregate."""
@@ -182,24 +102,3 @@ def hits_apply(t):
     hits = t("lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("pages"))
     rows = t("orders").where("o_orderstatus <> 'P'").join(hits, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return rows.select(F.col("o_orderkey").alias("id"), F.when(F.col("pages").isNotNull(), 0.99).otherwise(0.0).alias("score"), F.coalesce("pages", F.lit("")).alias("pages"))
-
-
-@query("jn_cover", "SELECT c_custkey AS id, m.o AS new_value FROM customer JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS o FROM orders GROUP BY 1) m ON c_custkey = o_custkey WHERE m.o IS DISTINCT FROM c_mktsegment")
-def cover(t):
-    first = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by("o_orderpriority", "o_orderkey").alias("new_value"))
-    return t("customer").join(first, "c_custkey").where(~F.col("new_value").eqNullSafe(F.col("c_mktsegment"))).select(F.col("c_custkey").alias("id"), "new_value")
-
-
-@query("jn_patch", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE o_orderstatus END THEN 'applied' ELSE 'conflict' END AS outcome, CASE WHEN o_orderstatus = CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE o_orderstatus END THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 2 = 0""")
-def patch(t):
-    """A patch applies only if what it says to replace is still there."""
-    o = t("orders")
-    patches = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "F").otherwise(F.col("o_orderstatus")).alias("original"), F.lit("X").alias("proposed"))
-    ok = F.col("o_orderstatus").eqNullSafe(F.col("original"))
-    return o.join(patches, "o_orderkey").select(F.col("o_orderkey").alias("id"), F.when(ok, "applied").otherwise("conflict").alias("outcome"), F.when(ok, F.col("proposed")).otherwise(F.col("o_orderstatus")).alias("status"))
-
-
-@query("jn_authoritative", "SELECT l_orderkey AS id, l_linenumber::BIGINT AS line, 'linestatus' AS field, l_linestatus AS old, o_orderstatus AS new FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IS DISTINCT FROM l_linestatus AND l_orderkey <= 5000")
-def authoritative(t):
-    rows = t("lineitem").where("l_orderkey <= 5000").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.where(~F.col("l_linestatus").eqNullSafe(F.col("o_orderstatus"))).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("line"), F.lit("linestatus").alias("field"), F.col("l_linestatus").alias("old"), F.col("o_orderstatus").alias("new"))

@@ -95,12 +95,6 @@ def candidate_pages(t):
     return t("orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.transform(near, lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("pf_validate_decision", "SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') AND value >= 40 THEN 'match' ELSE 'defer' END AS decision, CASE WHEN event_type IN ('purchase', 'signup') AND value >= 40 THEN user_id::VARCHAR ELSE '' END AS key FROM events")
-def validate_decision(t):
-    ok = F.array_contains(F.array(F.lit("purchase"), F.lit("signup")), F.col("event_type")) & (F.col("value") >= 40)
-    return t("events").select("event_id", F.when(ok, "match").otherwise("defer").alias("decision"), F.when(ok, F.col("user_id").cast("string")).otherwise("").alias("key"))
-
-
 @query("se_shard_prune", "SELECT source AS journal, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') AND lang <> 'en' GROUP BY 1")
 def shard_prune(t):
     return t("documents").where(F.col("source").isin("src1", "src2") & (F.col("lang") != "en")).groupBy(F.col("source").alias("journal")).agg(F.count("*").alias("n"))

@@ -115,12 +115,6 @@ def tokenize(t):
     return t("documents").select("doc_id", F.array_join(found, " ").alias("tokens")).where("tokens <> ''")
 
 
-@query("sc_stem", "SELECT DISTINCT w AS token, CASE " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {4 + len(e)} THEN left(w, length(w) - {len(e)})" for e in X.SEARCH_ENDINGS) + f" ELSE w END AS prefix FROM (SELECT unnest(string_split({key_sql('text')}, ' ')) AS w FROM documents)")
-def stem(t):
-    words = t("documents").select(F.explode(F.split(X.normalize_key(F.col("text")), " ")).alias("token")).distinct()
-    return words.select("token", X.search_prefix(F.col("token")).alias("prefix"))
-
-
 @query("se_bm25", f"SELECT doc_id, round(score, 9) AS score FROM ({_bm25_sql(PREFIXES, 'first_all')}) ORDER BY score, doc_id LIMIT 10")
 def bm25(t):
     """The ten best documents for a question: those with all of its words, or with any where none has all."""

@@ -129,12 +129,3 @@ def maps(t):
 def page(t):
     """The third page of twelve: a report of fixed length."""
     return t("orders").select(F.col("o_orderkey").alias("id")).orderBy("id").offset(24).limit(12)
-
-
-@query("sc_decision", """SELECT user_id, CASE WHEN top >= 80 AND top - coalesce(second, 0) >= 5 THEN 'confirmed' WHEN top >= 50 THEN 'uncertain' ELSE 'rejected' END AS decision FROM (SELECT user_id, max(value) FILTER (WHERE k = 1) AS top, max(value) FILTER (WHERE k = 2) AS second FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) GROUP BY 1)""")
-def decision(t):
-    """By the best score and its margin over the second."""
-    best = t("events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))).where("k <= 2")
-    two = best.groupBy("user_id").agg(F.max(F.when(F.col("k") == 1, F.col("value"))).alias("top"), F.max(F.when(F.col("k") == 2, F.col("value"))).alias("second"))
-    sure = (F.col("top") >= 80) & (F.col("top") - F.coalesce("second", F.lit(0.0)) >= 5)
-    return two.select("user_id", F.when(sure, "confirmed").when(F.col("top") >= 50, "uncertain").otherwise("rejected").alias("decision"))
