@@ -42,16 +42,6 @@ def unique(t):
     return t("part").groupBy(F.col("p_brand").alias("grp")).agg(ordered.alias("v")).select("grp", F.array_join(X.unique(F.col("v")), ";").alias("kept"))
 
 
-@query("st_merge_replace", "SELECT o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_custkey % 20 <> 3 UNION ALL SELECT (SELECT max(o_orderkey) FROM orders WHERE o_custkey % 20 <> 3) + row_number() OVER (ORDER BY o_orderkey), 'new' FROM orders WHERE o_custkey % 20 = 3")
-def merge_replace(t):
-    """Rows of the imported keys go, the new ones follow with fresh ids, numbered in one window over what is imported."""
-    o = t("orders")
-    kept = o.where("o_custkey % 20 <> 3").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
-    top = kept.agg(F.max("id").alias("top"))
-    new = o.where("o_custkey % 20 = 3").select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("n")).join(F.broadcast(top))
-    return kept.unionByName(new.select((F.col("top") + F.col("n")).alias("id"), F.lit("new").alias("state")))
-
-
 @query("pf_scope", "SELECT doc_id FROM documents WHERE coalesce(source, 'src0') = 'src0' AND lang = 'en' AND n_chars >= 300")
 def scope(t):
     return t("documents").where((F.coalesce("source", F.lit("src0")) == "src0") & (F.col("lang") == "en") & (F.col("n_chars") >= 300)).select("doc_id")

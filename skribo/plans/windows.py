@@ -16,37 +16,6 @@ def lookahead(t):
     return t("conversations").select("conv_id", "turn", F.array_join(F.filter(ahead, lambda x: x != ""), "|").alias("next_titles"))
 
 
-@query("wn_infer_end", """WITH a AS (SELECT l_orderkey AS issue, l_linenumber AS pos, min(l_partkey % 60) AS start FROM lineitem GROUP BY 1, 2)
-    SELECT a.issue, a.pos::BIGINT AS pos, a.start, coalesce((SELECT arg_min(b.start, b.pos) FROM a b WHERE b.issue = a.issue AND b.pos > a.pos AND b.start > a.start) - 1, a.start) AS last_page FROM a""")
-def infer_end(t):
-    """One less than the first greater start that follows in the list, not than the least one."""
-    a = t("lineitem").groupBy(F.col("l_orderkey").alias("issue"), F.col("l_linenumber").alias("pos")).agg(F.min(F.col("l_partkey") % 60).alias("start"))
-    after = F.collect_list("start").over(Window.partitionBy("issue").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
-    following = F.get(F.filter("after", lambda x: x > F.col("start")), F.lit(0))
-    return a.withColumn("after", after).select("issue", F.col("pos").cast("long").alias("pos"), "start", F.coalesce(following - 1, "start").alias("last_page"))
-
-
-@query("wn_best_record", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (trim(text) <> '') DESC, (role = 'assistant') DESC, len(regexp_extract_all(text, '\\S+')) DESC, length(text) DESC, turn) AS k FROM conversations) WHERE k = 1")
-def best_record(t):
-    """The best record of each id as one aggregate: its rank is a struct, the earliest of ties wins."""
-    rank = F.struct((F.trim("text") != "").alias("a"), (F.col("role") == "assistant").alias("b"), F.regexp_count("text", F.lit(r"\S+")).alias("c"), F.length("text").alias("d"), (-F.col("turn")).alias("e"), "role")
-    best = t("conversations").groupBy("conv_id").agg(F.max(rank).alias("m"))
-    return best.select("conv_id", (-F.col("m.e")).alias("turn"), F.col("m.role").alias("role"))
-
-
-@query("wn_dedupe_timeline", f"SELECT doc_id, key FROM (SELECT doc_id, {key_sql('left(text, 60)')} AS key, row_number() OVER (PARTITION BY source, {key_sql('left(text, 60)')} ORDER BY length(text) DESC, doc_id) AS k FROM documents) WHERE k = 1")
-def dedupe_timeline(t):
-    rows = t("documents").select("doc_id", "source", X.normalize_key(F.substring("text", 1, 60)).alias("key"), F.length("text").alias("n"))
-    best = rows.groupBy("source", "key").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("m"))
-    return best.select(F.col("m.doc_id").alias("doc_id"), "key")
-
-
-@query("wn_number", "SELECT o_orderkey AS id, o_orderstatus AS journal, row_number() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate), o_orderpriority, o_orderkey) AS number FROM orders")
-def number(t):
-    w = Window.partitionBy("o_orderstatus").orderBy(F.year("o_orderdate"), "o_orderpriority", "o_orderkey")
-    return t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("journal"), F.row_number().over(w).cast("long").alias("number"))
-
-
 @query("wn_slug_dedupe", f"SELECT p_partkey AS id, s || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug FROM (SELECT p_partkey, s, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS k FROM (SELECT p_partkey, replace({key_sql('p_type')}, ' ', '-') || '-' || p_size AS s FROM part))")
 def slug_dedupe(t):
     rows = t("part").select("p_partkey", F.concat_ws("-", X.slug(F.col("p_type")), F.col("p_size").cast("string")).alias("s"))
@@ -63,45 +32,12 @@ def sessions(events):
     return events.withColumn("session", F.sum((F.col("event_type") == "signup").cast("long")).over(w))
 
 
-@query("wn_session", f"SELECT user_id, session::BIGINT AS session, count(*) AS n, round(sum(value), 4) AS total, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS us FROM ({_SESSIONS}) GROUP BY 1, 2")
-def session(t):
-    return sessions(t("events")).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))).alias("us"))
-
-
-@query("wn_eta", f"SELECT user_id, count(*) AS samples, floor(sum(us) / 1000000 / count(*))::BIGINT AS mean_s FROM (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY session DESC) AS k FROM (SELECT user_id, session, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 * 1000000 AS us FROM ({_SESSIONS}) GROUP BY 1, 2 HAVING session > 0)) WHERE k <= 12 GROUP BY 1")
-def eta(t):
-    """Mean length of each user's last twelve sessions."""
-    us = F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))
-    lengths = sessions(t("events")).groupBy("user_id", "session").agg(us.alias("us")).where("session > 0")
-    last = lengths.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("session")))).where("k <= 12")
-    return last.groupBy("user_id").agg(F.count("*").alias("samples"), F.floor(F.sum(F.floor(F.col("us") / 1000000)) / F.count("*")).cast("long").alias("mean_s"))
-
-
-@query("wn_current", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts)::VARCHAR IS NOT NULL AS seen FROM events GROUP BY 1")
-def current(t):
-    return t("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").isNotNull().alias("seen"))
-
-
 @query("wn_fill_context", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS context FROM events")
 def fill_context(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return t("events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("context"))
 
 
-@query("wn_budget", "SELECT conv_id, turn, greatest(0, least(length(text), 600 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS used FROM conversations")
-def budget(t):
-    """Characters of each turn within the conversation's budget of 600, in order."""
-    before = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    return t("conversations").select("conv_id", "turn", F.greatest(F.lit(0), F.least(F.length("text"), 600 - F.coalesce(before, F.lit(0)))).cast("long").alias("used"))
-
-
-@query("se_brief", "SELECT conv_id, string_agg(left(text, used), chr(10) ORDER BY turn) AS brief FROM (SELECT conv_id, turn, text, greatest(0, least(length(text), 600 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS used FROM conversations) WHERE used > 0 GROUP BY 1")
-def brief(t):
-    rows = t("conversations").join(budget(t), ["conv_id", "turn"]).where("used > 0")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substr("text", F.lit(1), F.col("used").cast("int")).alias("p")))), lambda x: x["p"])
-    return rows.groupBy("conv_id").agg(F.array_join(parts, "\n").alias("brief"))
-
-
 @query("so_chrono", "SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(year(o_orderdate), 9999), o_orderpriority, o_orderkey) AS place FROM orders")
 def chrono(t):
     w = Window.partitionBy("o_custkey").orderBy(F.coalesce(F.year("o_orderdate"), F.lit(9999)), "o_orderpriority", "o_orderkey")
@@ -119,12 +55,6 @@ def caves(t):
     return t("part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.lower("name"))
 
 
-@query("so_maps", "SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY year(o_orderdate), o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'")
-def maps(t):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.year("o_orderdate"), "o_orderkey")
-    return t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.row_number().over(w).cast("long").alias("place"))
-
-
 @query("pf_page", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderkey LIMIT 12 OFFSET 24")
 def page(t):
     """The third page of twelve: a report of fixed length."""
