@@ -13,14 +13,6 @@ def issue_pdf(t):
     return t("orders").where("o_custkey > 0").groupBy(F.col("o_custkey").alias("pdf")).agg(F.count("*").alias("n"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id"))
 
 
-@query("ag_timeline", """SELECT p_type AS type, p_brand AS name, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY year, o_orderkey) AS articles FROM (SELECT DISTINCT p_type, p_brand, o_orderkey, year(o_orderdate) AS year FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_size < 4) GROUP BY 1, 2 HAVING count(*) >= 2 OR p_type LIKE 'S%'""")
-def timeline(t):
-    rows = t("lineitem").join(t("part").where("p_size < 4"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.select(F.col("p_type").alias("type"), F.col("p_brand").alias("name"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("id")).distinct()
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("year", "id"))), lambda x: x["id"].cast("string"))
-    return rows.groupBy("type", "name").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("articles")).where("n >= 2 OR type LIKE 'S%'")
-
-
 @query("ag_manifest", """SELECT unnest(['articles', 'customers', 'first_year', 'last_year', 'open']) AS key, unnest([count(*), count(DISTINCT o_custkey), min(year(o_orderdate)), max(year(o_orderdate)), count(*) FILTER (WHERE o_orderstatus = 'O')])::BIGINT AS value FROM orders""")
 def manifest(t):
     totals = t("orders").agg(F.count("*").alias("articles"), F.countDistinct("o_custkey").alias("customers"), F.min(F.year("o_orderdate")).cast("long").alias("first_year"), F.max(F.year("o_orderdate")).cast("long").alias("last_year"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
@@ -63,23 +55,6 @@ def mode_offset(t):
     return counts.groupBy("supp").agg(F.min(F.struct("n", "first", "off")).alias("m")).select("supp", F.col("m.off").alias("off"))
 
 
-@query("ag_registers", "SELECT p_brand AS term, count(*) AS n, string_agg(o::VARCHAR, ',' ORDER BY o) AS articles FROM (SELECT DISTINCT p_brand, l_orderkey AS o FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size = 3) GROUP BY 1")
-def registers(t):
-    rows = t("lineitem").join(t("part").where("p_size = 3"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("term"), F.col("l_orderkey").alias("o")).distinct()
-    return rows.groupBy("term").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda x: x.cast("string")), ",").alias("articles"))
-
-
-@query("ag_cave_index", """WITH r AS (SELECT p_brand AS card, o_orderkey, year(o_orderdate)::BIGINT AS y, o_custkey, l_returnflag, o_orderstatus FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey),
-    a AS (SELECT card, o_orderstatus AS area, row_number() OVER (PARTITION BY card ORDER BY count(*) DESC, o_orderstatus) AS k FROM r GROUP BY 1, 2)
-    SELECT r.card, count(DISTINCT o_orderkey) AS articles, count(DISTINCT o_custkey) FILTER (WHERE o_custkey % 10 > 0) AS authors, count(*) FILTER (WHERE l_returnflag = 'R') AS maps, min(y) AS first_year, max(y) AS last_year, any_value(a.area) AS area FROM r JOIN a ON r.card = a.card AND k = 1 GROUP BY 1""")
-def cave_index(t):
-    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.select(F.col("p_brand").alias("card"), "o_orderkey", F.year("o_orderdate").cast("long").alias("y"), "o_custkey", "l_returnflag", "o_orderstatus")
-    area = rows.groupBy("card", "o_orderstatus").agg((-F.count("*")).alias("n")).groupBy("card").agg(F.min(F.struct("n", "o_orderstatus")).alias("m")).select("card", F.col("m.o_orderstatus").alias("area"))
-    cards = rows.groupBy("card").agg(F.countDistinct("o_orderkey").alias("articles"), F.countDistinct(F.when(F.col("o_custkey") % 10 > 0, F.col("o_custkey"))).alias("authors"), F.count_if(F.col("l_returnflag") == "R").alias("maps"), F.min("y").alias("first_year"), F.max("y").alias("last_year"))
-    return cards.join(area, "card")
-
-
 @query("ag_aliases", "SELECT p_brand AS number, string_agg(p_name, ';' ORDER BY first) AS aliases FROM (SELECT p_brand, p_name, min(p_partkey) AS first FROM part GROUP BY 1, 2) GROUP BY 1")
 def aliases(t):
     first = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("first"))

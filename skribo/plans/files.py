@@ -65,64 +65,6 @@ def line_numbers(t):
     return files.with_line_numbers(docs.sparkSession, path).select(F.get_json_object("text", "$.doc_id").cast("long").alias("doc_id"), "line")
 
 
-#: The relations of the public export: table, its columns by name, and the key.
-RELATIONS = {
-    "articles": ("orders", {"article_id": "o_orderkey", "person_id": "o_custkey", "status": "o_orderstatus"}, ["article_id"]),
-    "people": ("customer", {"person_id": "c_custkey", "name": "c_name", "region_id": "c_nationkey"}, ["person_id"]),
-    "entities": ("part", {"entity_id": "p_partkey", "name": "p_name", "kind": "p_type"}, ["entity_id"]),
-    "article_entities": ("lineitem", {"article_id": "l_orderkey", "entity_id": "l_partkey"}, ["article_id", "entity_id"]),
-    "regions": ("nation", {"region_id": "n_nationkey", "name": "n_name"}, ["region_id"]),
-}
-#: References between them: relation, column, the relation whose key it is.
-REFERENCES = [("articles", "person_id", "people"), ("article_entities", "article_id", "articles"), ("article_entities", "entity_id", "entities"), ("people", "region_id", "regions")]
-
-
-def relations(t):
-    """Every relation with one row a key."""
-    return {name: t(table).select(*[F.col(old).alias(new) for new, old in columns.items()]).dropDuplicates(key) for name, (table, columns, key) in RELATIONS.items()}
-
-
-def _distinct(name: str) -> str:
-    table, columns, key = RELATIONS[name]
-    return f"SELECT DISTINCT {', '.join(f'{columns[k]} AS {k}' for k in key)} FROM {table}"
-
-
-@query("io_sqlite", " UNION ALL ".join(f"SELECT '{n}' AS relation, count(*) AS n FROM ({_distinct(n)})" for n in RELATIONS))
-def export(t):
-    """The relations written, one table each, and counted from there."""
-    made = relations(t)
-    spark = t("nation").sparkSession
-    path = files.scratch(spark)
-    files.write_relations(made, path)
-    counts = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("relation"), F.count("*").alias("n")) for name in made]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
-
-
-def _reference_sql() -> str:
-    parts = []
-    for name, column, other in REFERENCES:
-        table, columns, _ = RELATIONS[name]
-        target, names, key = RELATIONS[other]
-        parts.append(f"SELECT '{name}.{column}' AS reference, count({columns[column]}) AS n, count_if({columns[column]} IS NOT NULL AND {columns[column]} NOT IN (SELECT {names[key[0]]} FROM {target}))::BIGINT AS dangling FROM (SELECT DISTINCT ON ({', '.join(columns[k] for k in RELATIONS[name][2])}) * FROM {table})")
-    return " UNION ALL ".join(parts)
-
-
-@query("dm_schema", _reference_sql())
-def references(t):
-    """For each reference between relations, its rows and those that point nowhere."""
-    made = relations(t)
-    out = None
-    for name, column, other in REFERENCES:
-        key = made[other].select(F.col(RELATIONS[other][2][0]).alias("_key"))
-        joined = made[name].join(key, F.col(column) == F.col("_key"), "left")
-        row = joined.agg(F.lit(f"{name}.{column}").alias("reference"), F.count(column).alias("n"), F.count_if(F.col(column).isNotNull() & F.col("_key").isNull()).alias("dangling"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 _BOX = "struct<_xMin:double,_yMin:double,_xMax:double,_yMax:double"
 _LAYOUT = f"page struct<_width:double,_height:double,line:array<{_BOX},word:array<{_BOX},_VALUE:string>>>>>"
 

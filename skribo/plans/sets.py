@@ -103,25 +103,6 @@ def link(t):
     return t("lineitem").groupBy(F.col("l_orderkey").alias("article"), F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("relation")).agg(F.min("l_linenumber").cast("long").alias("first"))
 
 
-@query("dm_article_row", "SELECT o_orderkey AS id, coalesce(c_name, 'Anonymus') AS authors, year(o_orderdate)::BIGINT AS year, (o_orderstatus = 'F')::BIGINT AS has_map, coalesce(n, 0) AS entities FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
-def article_row(t):
-    n = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    rows = t("orders").join(n, "o_orderkey", "left").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.select(F.col("o_orderkey").alias("id"), F.coalesce("c_name", F.lit("Anonymus")).alias("authors"), F.year("o_orderdate").cast("long").alias("year"), (F.col("o_orderstatus") == "F").cast("long").alias("has_map"), F.coalesce("n", F.lit(0)).alias("entities"))
-
-
-@query("dm_lookup", f"SELECT row_number() OVER (ORDER BY first) AS id, name FROM (SELECT {key_sql('p_type')} AS k, min(p_partkey) AS first, arg_min(p_type, p_partkey) AS name FROM part GROUP BY 1)")
-def lookup(t):
-    """Surrogate ids in the order in which names are first seen; the window is over the dimension alone."""
-    dimension = t("part").groupBy(X.normalize_key(F.col("p_type")).alias("k")).agg(F.min("p_partkey").alias("first"), F.min_by("p_type", "p_partkey").alias("name"))
-    return dimension.select(F.row_number().over(Window.orderBy("first")).cast("long").alias("id"), "name")
-
-
-@query("dm_media", "SELECT page_id AS asset, md5(url) AS asset_id, 'pdf_page_range' AS kind FROM pages WHERE url <> ''")
-def media(t):
-    return t("pages").where("url <> ''").select(F.col("page_id").alias("asset"), F.md5("url").alias("asset_id"), F.lit("pdf_page_range").alias("kind"))
-
-
 @query("dm_tags", "SELECT doc_id, concat_ws(',', lang, CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN contains(text, '@') THEN 'mail' END) AS tags FROM documents")
 def tags(t):
     """Managed tags go, those of the features found come; the others stay."""
@@ -129,9 +110,3 @@ def tags(t):
     old = F.array("lang", F.lit("table"))
     new = F.array_compact(F.array(F.when(F.col("text").contains("|"), "table"), F.when(F.col("text").contains("@"), "mail")))
     return t("documents").select("doc_id", F.array_join(F.array_union(F.array_except(old, managed), new), ",").alias("tags"))
-
-
-@query("dm_changes", "SELECT c_custkey AS id, c_mktsegment AS old, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS new, 'balance' AS reason FROM customer WHERE c_acctbal < 0")
-def changes(t):
-    new = F.when(F.col("c_acctbal") < 0, "DEBT").otherwise(F.col("c_mktsegment"))
-    return t("customer").withColumn("new", new).where(~F.col("new").eqNullSafe(F.col("c_mktsegment"))).select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("old"), "new", F.lit("balance").alias("reason"))
