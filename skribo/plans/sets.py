@@ -85,11 +85,6 @@ def candidate_pages(t):
     return t("orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.transform(near, lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("se_shard_prune", "SELECT source AS journal, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') AND lang <> 'en' GROUP BY 1")
-def shard_prune(t):
-    return t("documents").where(F.col("source").isin("src1", "src2") & (F.col("lang") != "en")).groupBy(F.col("source").alias("journal")).agg(F.count("*").alias("n"))
-
-
 @query("dm_upsert_entity", f"SELECT {key_sql('p_brand')} AS key, arg_max(p_brand, p_partkey) AS name, arg_max(p_type, p_partkey) FILTER (WHERE p_size > 25) AS link, count(*) AS n FROM part GROUP BY 1")
 def upsert_entity(t):
     """The latest spelling and the latest link that there is."""

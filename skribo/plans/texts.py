@@ -193,11 +193,3 @@ def register_term(t):
 @query("pf_substr_filter", f"SELECT doc_id, lang FROM documents WHERE contains({_FOLD.format('text')}, 'etion')")
 def substr_filter(t):
     return t("documents").where(X.fold(F.col("text")).contains("etion")).select("doc_id", "lang")
-
-
-@query("sc_identity", r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang, try_cast(nullif(regexp_extract(url, '/(\d+)', 1), '') AS BIGINT) AS number,
-    coalesce(nullif(regexp_extract(url, '/(en|de|fr|es)/', 1), ''), 'xx') || '_' || coalesce(nullif(regexp_extract(url, '/(\d+)', 1), ''), '0') AS issue_key FROM pages""")
-def identity(t):
-    lang, number = F.regexp_extract("url", "/(en|de|fr|es)/", 1), F.regexp_extract("url", r"/(\d+)", 1)
-    key = F.concat_ws("_", F.coalesce(F.nullif(lang, F.lit("")), F.lit("xx")), F.coalesce(F.nullif(number, F.lit("")), F.lit("0")))
-    return t("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), lang.alias("lang"), number.try_cast("long").alias("number"), key.alias("issue_key"))
