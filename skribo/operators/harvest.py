@@ -73,7 +73,7 @@ def page_text(html: Column) -> Column:
 def gated(url: Column, text: Column, include: tuple[str, ...] = (), required: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
     """Whether a link passes: any pattern of include (if there are any), all of required, none of exclude, in its address and text, whatever the case."""
     whole = F.concat_ws(" ", url, text)
-    hits = lambda p: F.coalesce(whole.rlike(f"(?i){p}"), F.lit(False))
+    hits = lambda p: F.coalesce(whole.rlike(f"(?iu){p}"), F.lit(False))
     ok = F.lit(not include)
     for p in include:
         ok = ok | hits(p)

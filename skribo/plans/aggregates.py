@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skribo.functions import text as X
+from skribo.operators.numbering import numbered
 from skribo.plans.base import query
+from skribo.plans.texts import key_sql
 
 
 @query("ag_issue_pdf", "SELECT o_custkey AS pdf, count(*) AS n, min(year(o_orderdate))::BIGINT AS first_year, max(year(o_orderdate))::BIGINT AS last_year, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders WHERE o_custkey > 0 GROUP BY 1")
@@ -31,18 +34,6 @@ def reconcile_report(t):
     return t("conversations").agg(F.count("*").alias("input"), F.countDistinct("conv_id", "role").alias("kept"), (F.count("*") - F.countDistinct("conv_id", "role")).alias("removed"))
 
 
-@query("ag_metrics", """SELECT tp, fp, fn, tn, tp / nullif(tp + fp, 0)::DOUBLE AS precision_, tp / nullif(tp + fn, 0)::DOUBLE AS recall, (tp + tn) / nullif(tp + fp + fn + tn, 0)::DOUBLE AS accuracy, median FROM (
-    SELECT count(*) FILTER (WHERE p AND g) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE NOT p AND g) AS fn, count(*) FILTER (WHERE NOT p AND NOT g) AS tn, quantile_cont(length(text), 0.5) AS median
-    FROM (SELECT regexp_matches(lower(text), 'stupid|idiot|trash') AS p, toxic = 1 AS g, text FROM documents JOIN labels USING (doc_id)))""")
-def metrics(t):
-    """Confusion of a word rule with the labels; ratios are null without a denominator."""
-    rows = t("documents").join(t("labels"), "doc_id").select(F.lower("text").rlike("stupid|idiot|trash").alias("p"), (F.col("toxic") == 1).alias("g"), F.length("text").alias("n"))
-    p, g = F.col("p"), F.col("g")
-    c = rows.agg(F.count_if(p & g).alias("tp"), F.count_if(p & ~g).alias("fp"), F.count_if(~p & g).alias("fn"), F.count_if(~p & ~g).alias("tn"), F.percentile("n", 0.5).alias("median"))
-    ratio = lambda a, b, name: F.try_divide(F.expr(a).cast("double"), F.expr(b)).alias(name)
-    return c.select("tp", "fp", "fn", "tn", ratio("tp", "tp + fp", "precision_"), ratio("tp", "tp + fn", "recall"), ratio("tp + tn", "tp + fp + fn + tn", "accuracy"), "median")
-
-
 @query("ag_page_map", "SELECT l_suppkey AS printed, min(l_orderkey) AS physical FROM lineitem GROUP BY 1")
 def page_map(t):
     return t("lineitem").groupBy(F.col("l_suppkey").alias("printed")).agg(F.min("l_orderkey").alias("physical"))
@@ -55,18 +46,6 @@ def mode_offset(t):
     return counts.groupBy("supp").agg(F.min(F.struct("n", "first", "off")).alias("m")).select("supp", F.col("m.off").alias("off"))
 
 
-@query("ag_aliases", "SELECT p_brand AS number, string_agg(p_name, ';' ORDER BY first) AS aliases FROM (SELECT p_brand, p_name, min(p_partkey) AS first FROM part GROUP BY 1, 2) GROUP BY 1")
-def aliases(t):
-    first = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("first"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("first", "p_name"))), lambda x: x["p_name"])
-    return first.groupBy(F.col("p_brand").alias("number")).agg(F.array_join(names, ";").alias("aliases"))
-
-
-@query("ag_status_counts", "SELECT event_type AS status, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
-def status_counts(t):
-    return t("events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
-
-
 @query("ag_group_pdf", "SELECT c_custkey AS pdf, count(o_orderkey) AS n, min(o_orderkey) AS first_id FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def group_pdf(t):
     groups = t("orders").groupBy(F.col("o_custkey").alias("pdf")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_id"))
@@ -91,3 +70,68 @@ def top_authors(t):
 def portal_stats(t):
     year = F.year("o_orderdate").cast("long")
     return t("orders").agg(F.count("*").alias("articles"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count_if(F.col("o_orderstatus") == "F").alias("maps"), F.countDistinct("o_custkey").alias("authors"))
+
+
+@query("ag_aliases", f"SELECT p_brand AS number, name, row_number() OVER (PARTITION BY p_brand ORDER BY first) AS place FROM (SELECT p_brand, arg_min(p_name, p_partkey) AS name, min(p_partkey) AS first FROM part GROUP BY p_brand, {key_sql('p_name')})")
+def aliases(t):
+    """The names of each number, a row each, the first spelling of a folded name, in the order in which they come."""
+    return distinct_in_order(t("part"), "p_brand", "p_name", "p_partkey").select(F.col("p_brand").alias("number"), F.col("p_name").alias("name"), "place")
+
+
+@query("st_unique", f"SELECT p_brand AS grp, kept, row_number() OVER (PARTITION BY p_brand ORDER BY first) AS place FROM (SELECT p_brand, arg_min(p_type, p_partkey) AS kept, min(p_partkey) AS first FROM part GROUP BY p_brand, {key_sql('p_type')})")
+def unique(t):
+    return distinct_in_order(t("part"), "p_brand", "p_type", "p_partkey").select(F.col("p_brand").alias("grp"), F.col("p_type").alias("kept"), "place")
+
+
+def distinct_in_order(rows, by: str, value: str, order: str, key=X.normalize_key):
+    """by, value, place (from 1): the first spelling of each folded value of a group, in order. What is numbered are distinct values, however many rows a group has."""
+    first = rows.groupBy(by, key(F.col(value)).alias("_key")).agg(F.min(F.struct(order, value)).alias("m")).select(by, F.col(f"m.{value}").alias(value), F.col(f"m.{order}").alias("_order"))
+    return numbered(first, ["_order"], "place", (by,)).select(by, value, "place")
+
+
+@query(
+    "ag_status_counts",
+    """WITH e AS (SELECT *, 2000 + event_id % 5 AS year, CASE WHEN event_id % 7 = 0 THEN 'kongres' ELSE (event_id % 4 + 9)::VARCHAR END AS issue FROM events), g AS (SELECT DISTINCT year, issue FROM e WHERE event_type = 'error')
+    SELECT 'status' AS kind, event_type AS value, NULL::BIGINT AS year, count(*) AS n, NULL::BIGINT AS place FROM e GROUP BY 2 UNION ALL SELECT 'issue', issue, year, NULL, row_number() OVER (ORDER BY year DESC, regexp_full_match(issue, '\\d+') DESC, try_cast(issue AS BIGINT) DESC, issue DESC) FROM g""",
+)
+def status_counts(t):
+    """How many items have each status; and the issues with failed ones, the latest first, numbered issues before others."""
+    issue = F.when(F.col("event_id") % 7 == 0, "kongres").otherwise((F.col("event_id") % 4 + 9).cast("string"))
+    e = t("events").select("event_type", (2000 + F.col("event_id") % 5).alias("year"), issue.alias("issue"))
+    counts = e.groupBy(F.lit("status").alias("kind"), F.col("event_type").alias("value"), F.lit(None).cast("long").alias("year")).agg(F.count("*").alias("n")).withColumn("place", F.lit(None).cast("long"))
+    groups = e.where("event_type = 'error'").select("year", "issue").distinct()
+    return counts.unionByName(latest_first(groups, "year", "issue").select(F.lit("issue").alias("kind"), F.col("issue").alias("value"), "year", F.lit(None).cast("long").alias("n"), "place"))
+
+
+def latest_first(groups, year: str, issue: str):
+    """groups with place: by year, then issues that are numbers, then the others, the greatest first."""
+    number = F.col(issue).rlike(r"^\d+$")
+    return numbered(groups.withColumn("_n", F.col(issue).try_cast("long")).withColumn("_is", number), [F.desc(year), F.desc("_is"), F.desc("_n"), F.desc(issue)], "place").drop("_n", "_is")
+
+
+@query(
+    "ag_metrics",
+    """WITH r AS (SELECT regexp_matches(lower(text), 'stupid|idiot|trash') AS p, toxic = 1 AS g, length(text) / 1000.0::DOUBLE AS s, doc_id % 20 = 0 AS e FROM documents JOIN labels USING (doc_id)),
+    c AS (SELECT count(*) FILTER (WHERE p AND g) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE NOT p AND g) AS fn, count(*) FILTER (WHERE NOT p AND NOT g) AS tn, count(*) FILTER (WHERE e) AS parse_errors, round(sum(s), 3) AS latency_total, round(avg(s), 3) AS latency_avg, round(quantile_cont(s, 0.5), 3) AS latency_median FROM r)
+    SELECT *, tp / nullif(tp + fp, 0)::DOUBLE AS precision_, tp / nullif(tp + fn, 0)::DOUBLE AS recall, (tp + tn) / nullif(tp + fp + fn + tn, 0)::DOUBLE AS accuracy FROM c""",
+)
+def metrics(t):
+    """A word rule held against the labels, with what it cost."""
+    rows = t("documents").join(t("labels"), "doc_id").select(F.lower("text").rlike("stupid|idiot|trash").alias("p"), (F.col("toxic") == 1).alias("g"), (F.length("text") / 1000.0).alias("s"), (F.col("doc_id") % 20 == 0).alias("e"))
+    return confusion(rows, F.col("p"), F.col("g"), F.col("s"), F.col("e"))
+
+
+def confusion(rows, predicted, true, seconds, failed):
+    """tp, fp, fn, tn, parse_errors, latency_total, latency_avg, latency_median, precision_, recall, accuracy; ratios are null without a denominator, latencies without any."""
+    c = rows.agg(
+        F.count_if(predicted & true).alias("tp"),
+        F.count_if(predicted & ~true).alias("fp"),
+        F.count_if(~predicted & true).alias("fn"),
+        F.count_if(~predicted & ~true).alias("tn"),
+        F.count_if(failed).alias("parse_errors"),
+        F.round(F.sum(seconds), 3).alias("latency_total"),
+        F.round(F.avg(seconds), 3).alias("latency_avg"),
+        F.round(F.percentile(seconds, 0.5), 3).alias("latency_median"),
+    )
+    ratio = lambda a, b, name: F.try_divide(F.expr(a).cast("double"), F.expr(b)).alias(name)
+    return c.select("*", ratio("tp", "tp + fp", "precision_"), ratio("tp", "tp + fn", "recall"), ratio("tp + tn", "tp + fp + fn + tn", "accuracy"))

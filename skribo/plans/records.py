@@ -43,12 +43,6 @@ def trim_bounds(t):
     return bounds.trimmed(rows, "text", "title", "next").select("doc_id", "start_char", "end_char", "was_cut", F.sha1("trimmed").alias("sha1"))
 
 
-@query("se_snippet")
-def snippet(t):
-    """Around words that begin with the or ver."""
-    return t("documents").select("doc_id", bounds.snippet(F.col("text"), ["the", "ver"]).alias("snippet")).where("snippet IS NOT NULL")
-
-
 _LINES = ["Mapa jaskyne, mierka 1:500", "Foto: vchod a plan", "Plán práce na rok", "Zameral a kreslil, legenda", "Dĺžka jaskyne", "Obr. 1. Pôdorys"]
 _TEXT_SQL = f"[{', '.join(repr(x) for x in _LINES)}][doc_id % 6 + 1] || chr(10) || text"
 _F = f"trim(regexp_replace({{}}, '\\s+', ' ', 'g'))".format("replace(lower(strip_accents(regexp_replace(t, '([\\p{L}\\p{N}_])-\\s*\\n\\s*([\\p{L}\\p{N}_])', '\\1\\2', 'g'))), 'ß', 'ss')")
@@ -138,12 +132,20 @@ def inflect(t):
     return pairs.join(docs, "doc_id").where(F.expr("key rlike pattern")).select("item_id", "doc_id")
 
 
-@query("sc_cave_infer", "SELECT p_partkey, unnest(['Jaskyňa ' || n || b, 'Priepasť ' || n || c, b2 || ' diera']) AS name FROM (SELECT p_partkey, 'Wolf' || p_partkey AS n, ' mala' AS b, ' hlboka' AS c, 'Lom' || p_size AS b2 FROM part)")
+_AREAS = (("South", ("lom[0-4]\\b", "juzn")), ("North", ("lom", "severn")))
+
+
+@query("sc_cave_infer", """SELECT p_partkey, name, CASE WHEN regexp_matches('lom' || p_size, 'lom[0-4]\\b') THEN 'South' ELSE 'North' END AS area, CASE WHEN p_partkey % 4 = 0 THEN 'registered' WHEN p_partkey % 4 = 1 THEN 'explicit' ELSE 'inferred' END AS via FROM (SELECT p_partkey, p_size, unnest(CASE WHEN p_partkey % 4 = 0 THEN ['Registered ' || p_partkey, 'Special'] WHEN p_partkey % 4 = 1 THEN ['Named ' || p_size]
+    ELSE ['Jaskyňa Wolf' || p_partkey || ' mala', 'Priepasť Wolf' || p_partkey || ' hlboka', 'Lom' || p_size || ' diera'] END) AS name FROM part)""")
 def cave_infer(t):
-    """Three names in a sentence each."""
-    n = F.concat(F.lit("Wolf"), F.col("p_partkey").cast("string"))
+    """Names of places by priority: registered ones (with special ones), else those that are told, else those that a text names; and their area by the first rule that its text answers."""
+    i, n = F.col("p_partkey"), F.concat(F.lit("Wolf"), F.col("p_partkey").cast("string"))
     text = F.concat(F.lit("v jaskyni "), n, F.lit(" mala; tam. priepasť "), n, F.lit(" hlboka v lese. "), F.lit("Lom"), F.col("p_size").cast("string"), F.lit(" diera."))
-    return t("part").select("p_partkey", F.explode(D.inferred_names(text)).alias("name"))
+    number, none = i.cast("string"), F.array().cast("array<string>")
+    registered = F.when(i % 4 == 0, F.array(F.concat(F.lit("Registered "), number))).otherwise(none)
+    told = F.when(i % 4 == 1, F.array(F.concat(F.lit("Named "), F.col("p_size").cast("string")), F.lit("x"))).otherwise(none)
+    names, via = D.names_by_priority(registered, told, D.inferred_names(text), F.array(F.lit("Special")))
+    return t("part").select("p_partkey", F.explode(names).alias("name"), D.area_of(text, _AREAS).alias("area"), via.alias("via"))
 
 
 @query("io_prose_parse", "SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, 'Novák, J.; Kováč, P.' AS authors, 'Order ' || o_orderkey AS title, '3-5' AS pages, '2 obr.; res.' AS extras, year(o_orderdate) AS year, 'V.' AS volume, month(o_orderdate)::VARCHAR AS issue, o_orderpriority || ' note' AS abstract FROM orders")
@@ -158,13 +160,17 @@ def prose_parse(t):
     return records.parsed(orders.select(F.col("o_custkey").alias("file"), F.array_join(F.transform("o", entry), "\n").alias("text")), "file", "text", records.bibliography, records.BIBLIOGRAPHY)
 
 
-@query("io_register_parse", """SELECT s_suppkey // 50 AS file, '7.' || s_suppkey AS cave_number, s_suppkey::VARCHAR AS registry_number, '7' AS list_number, s_name AS official_name, n_name || '; second' AS aliases, 'Vrch' AS celok, 'Strana' AS podcelok, '' AS "cast" FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+@query("io_register_parse", """SELECT s_suppkey // 50 AS file, '7.' || s_suppkey AS cave_number, CASE WHEN s_suppkey % 150 = 69 THEN '1' WHEN s_suppkey % 3 = 0 THEN '7.' || s_suppkey ELSE s_suppkey::VARCHAR END AS registry_number, '7' AS list_number, s_name AS official_name, n_name || ';second' AS aliases, s_name || ';' || n_name || ';second' || CASE WHEN s_suppkey % 2 = 0 THEN ';Other ' || s_suppkey || ' a' ELSE '' END AS names,
+    CASE WHEN s_suppkey % 50 < 20 THEN 'Vrch' ELSE 'Iný' END AS celok, CASE WHEN s_suppkey % 50 < 20 THEN 'Strana' ELSE '' END AS podcelok, '' AS "cast" FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def register_parse(t):
-    """A register of fifty suppliers a file, and parsed."""
-    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    line = F.format_string("7. %s. %s (%s, second)\n - k. ú. Obec, r. č. %s", "s_suppkey", "s_name", "n_name", "s_suppkey")
-    made = rows.groupBy(F.floor(F.col("s_suppkey") / 50).alias("file")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("l")))).alias("x"))
-    return records.parsed(made.select("file", F.concat(F.lit("Vrch, Strana\n"), F.array_join("x.l", "\n")).alias("text")), "file", "text", records.register, records.REGISTER)
+    """A register of fifty suppliers a file, in two regions, with a register of names beside it, and parsed."""
+    rows, i = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")), F.col("s_suppkey")
+    told = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit(", r. č.\n"), i.cast("string")))
+    line = F.concat(F.when(i % 50 == 20, "r. č. 1\nIný\n").otherwise(""), F.format_string("7. %s. %s (%s,\nsecond)\n - k. ú. Obec%s", "s_suppkey", "s_name", "n_name", told))
+    made = rows.groupBy(F.floor(i / 50).alias("file")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("l")))).alias("x"))
+    other = rows.where("s_suppkey % 2 = 0").select(F.floor(i / 50).alias("file"), F.format_string("Other  %s a   7.%s.\nno number", "s_suppkey", "s_suppkey").alias("text"))
+    found = records.register(made.select("file", F.concat(F.lit("Vrch, Strana\n"), F.array_join("x.l", "\n")).alias("text")), "file", "text", records.name_register(other, "file", "text"))
+    return found.withColumns({c: F.array_join(c, ";") for c in ("aliases", "names")})
 
 
 @query("wn_next_match", "SELECT conv_id, 'Role, ' || upper(left(role, 1)) || '.' AS authors, 'Napísal ' || upper(left(role, 1)) || '. Role' AS line, turn AS place, CASE WHEN count(*) OVER (PARTITION BY conv_id) <= 4 THEN 0.92 ELSE 0.84 END::DOUBLE AS confidence FROM conversations QUALIFY turn = 0")

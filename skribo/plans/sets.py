@@ -20,15 +20,6 @@ def hits_union(t):
 _TOKENS = "list_distinct(string_split({}, ' '))"
 
 
-@query("st_token_sets", f"""SELECT page_id, a_n, b_n, both_n, both_n / (a_n + b_n - both_n)::DOUBLE AS jaccard, 2.0 * both_n / (a_n + b_n)::DOUBLE AS dice FROM (SELECT page_id, len(a)::BIGINT AS a_n, len(b)::BIGINT AS b_n, len(list_intersect(a, b))::BIGINT AS both_n
-    FROM (SELECT page_id, {_TOKENS.format(key_sql('url'))} AS a, {_TOKENS.format(key_sql('left(html, 300)'))} AS b FROM pages))""")
-def token_sets(t):
-    a, b = (F.array_distinct(F.split(X.normalize_key(c), " ")) for c in (F.col("url"), F.substring("html", 1, 300)))
-    rows = t("pages").select("page_id", a.alias("a"), b.alias("b"))
-    n = rows.select("page_id", F.size("a").cast("long").alias("a_n"), F.size("b").cast("long").alias("b_n"), F.size(F.array_intersect("a", "b")).cast("long").alias("both_n"))
-    return n.select("*", (F.col("both_n") / (F.col("a_n") + F.col("b_n") - F.col("both_n"))).alias("jaccard"), (2.0 * F.col("both_n") / (F.col("a_n") + F.col("b_n"))).alias("dice"))
-
-
 @query("st_diff", "SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'orphan' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en')")
 def diff(t):
     d, l = t("documents"), t("labels")  # noqa: E741
@@ -36,12 +27,6 @@ def diff(t):
     return missing.unionByName(l.join(d.where("lang = 'en'"), "doc_id", "left_anti").select("doc_id", F.lit("orphan").alias("side")))
 
 
-@query("st_unique", f"SELECT p_brand AS grp, string_agg(p_type, ';' ORDER BY first) AS kept FROM (SELECT p_brand, arg_min(p_type, p_partkey) AS p_type, min(p_partkey) AS first FROM part GROUP BY p_brand, {key_sql('p_type')}) GROUP BY 1")
-def unique(t):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"])
-    return t("part").groupBy(F.col("p_brand").alias("grp")).agg(ordered.alias("v")).select("grp", F.array_join(X.unique(F.col("v")), ";").alias("kept"))
-
-
 @query("pf_scope", "SELECT doc_id FROM documents WHERE coalesce(source, 'src0') = 'src0' AND lang = 'en' AND n_chars >= 300")
 def scope(t):
     return t("documents").where((F.coalesce("source", F.lit("src0")) == "src0") & (F.col("lang") == "en") & (F.col("n_chars") >= 300)).select("doc_id")
@@ -78,13 +63,6 @@ def outer_matter(t):
     return rows.select("issue", F.col("article").cast("long").alias("article"), every.alias("outer_matter"))
 
 
-@query("pf_candidate_pages", "SELECT o_orderkey AS id, concat_ws(',', CASE WHEN p BETWEEN 1 AND 60 THEN p::VARCHAR END, CASE WHEN p + 1 BETWEEN 1 AND 60 THEN (p + 1)::VARCHAR END, CASE WHEN p - 1 BETWEEN 1 AND 60 THEN (p - 1)::VARCHAR END) AS pages FROM (SELECT o_orderkey, o_custkey % 65 AS p FROM orders)")
-def candidate_pages(t):
-    p = F.col("o_custkey") % 65
-    near = F.slice(F.array_distinct(F.filter(F.array(p, p + 1, p - 1), lambda x: x.between(1, 60))), 1, 3)
-    return t("orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.transform(near, lambda x: x.cast("string")), ",").alias("pages"))
-
-
 @query("dm_upsert_entity", f"SELECT {key_sql('p_brand')} AS key, arg_max(p_brand, p_partkey) AS name, arg_max(p_type, p_partkey) FILTER (WHERE p_size > 25) AS link, count(*) AS n FROM part GROUP BY 1")
 def upsert_entity(t):
     """The latest spelling and the latest link that there is."""

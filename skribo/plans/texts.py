@@ -84,11 +84,6 @@ def chunk_id(t):
     return chunks.chunk(t("documents")).select("doc_id", "ordinal", chunks.chunk_id(F.col("doc_id"), F.col("ordinal"), F.col("text")).alias("chunk_id"))
 
 
-@query("se_reassemble")
-def reassemble(t):
-    return chunks.reassemble(chunks.chunk(t("documents")))
-
-
 def _bm25_sql(prefixes: list[str], mode: str, source: str = "documents", key: str = "doc_id") -> str:
     tokens = f"list_filter(regexp_split_to_array({_FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     counts = ", ".join(f"len(list_filter(t, lambda x: starts_with(x, '{p}')))::DOUBLE AS f{k}" for k, p in enumerate(prefixes))
@@ -160,24 +155,6 @@ def page_strings(orders):
 _IMPORTED = "CASE WHEN o_orderstatus = 'F' AND o_custkey % 7 > 0 THEN o_custkey % 7 END"
 
 
-@query("sc_page_resolution", f"""SELECT o_orderkey AS id, coalesce({_IMPORTED}, o_custkey % 90 + 2)::BIGINT AS research_page, (coalesce(o_custkey % 7, 0) + 2)::BIGINT AS public_page, (o_custkey % 90 + 2)::BIGINT AS bibliography_page,
-    (coalesce(nullif(o_custkey % 90, 0), 1) + 2)::BIGINT AS index_page, least(greatest(coalesce({_IMPORTED}, o_custkey % 90 + 2), 1), 60)::BIGINT AS extraction_page FROM orders""")
-def page_resolution(t):
-    """The rules by which different reports find a physical page: research, public export, bibliography, index, extraction."""
-    o = t("orders")
-    printed, seven = F.col("o_custkey") % 90, F.col("o_custkey") % 7
-    imported = F.when(F.col("o_orderstatus") == "F", X.positive(seven))
-    research = F.coalesce(imported, printed + 2)
-    return o.select(
-        F.col("o_orderkey").alias("id"),
-        research.cast("long").alias("research_page"),
-        (F.coalesce(seven, F.lit(0)) + 2).cast("long").alias("public_page"),
-        (printed + 2).cast("long").alias("bibliography_page"),
-        (F.coalesce(X.positive(printed), F.lit(1)) + 2).cast("long").alias("index_page"),
-        F.least(F.greatest(research, F.lit(1)), F.lit(60)).cast("long").alias("extraction_page"),
-    )
-
-
 @query("so_natural", "SELECT DISTINCT p_type || ' ' || p_size AS label, lower(regexp_extract(p_type || ' ' || p_size, '^\\D*')) || lpad(p_size::VARCHAR, 12, '0') AS sort_key FROM part")
 def natural(t):
     label = F.concat_ws(" ", "p_type", F.col("p_size").cast("string"))
@@ -188,8 +165,3 @@ def natural(t):
 def register_term(t):
     cleaned = F.btrim(F.regexp_replace(F.regexp_replace("p_name", r"[\p{So}\p{Sk}\x{FE0F}]", ""), r"\s+", " "), F.lit(" ,;"))
     return t("part").select(F.col("p_name").alias("term"), cleaned.alias("cleaned")).distinct()
-
-
-@query("pf_substr_filter", f"SELECT doc_id, lang FROM documents WHERE contains({_FOLD.format('text')}, 'etion')")
-def substr_filter(t):
-    return t("documents").where(X.fold(F.col("text")).contains("etion")).select("doc_id", "lang")

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skribo.functions import text as X
-from skribo.operators import chunks, ranking
-from skribo.plans import joins, registry, sources
+from skribo.operators import chunks, harvest, matching, ranking
+from skribo.plans import matching as plan_matching
+from skribo.plans import registry
 from skribo.sources import files
 from skribo.streaming import runs
 
@@ -86,32 +87,83 @@ def test_chunks_and_reassembly(spark):
     assert back[2] == "short" and back[5] == "x" * 2500
 
 
-def test_bm25(spark):
+def test_bm25(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Cave caves dome"), (2, "dome river"), (3, "river"), (4, None)], "id long, text string")
-    found = {r["id"]: r["score"] for r in ranking.bm25(docs, "id", "text", ["cav"]).collect()}
+    index = ranking.build(docs, "id", {"text": F.col("text")}, str(tmp_path / "index"))
+    found = {r["id"]: r["score"] for r in ranking.bm25(index, ["cav"]).collect()}
     idf = math.log((4 - 1 + 0.5) / 1.5)
     assert found == {1: pytest.approx(-idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 1.5)))}
-    assert [r["id"] for r in ranking.bm25(docs, "id", "text", ["dom", "riv"], True).collect()] == [2]
+    assert [r["id"] for r in ranking.bm25(index, ["dom", "riv"], "all").collect()] == [2]
+    assert sorted(r["id"] for r in ranking.bm25(index, ["cav", "riv"], "first_all").collect()) == [1, 2, 3]
+    assert [r["id"] for r in ranking.bm25(index, ["dom", "riv"], "first_all").collect()] == [2]
     assert ranking.query_prefixes(spark, "Jaskyne a jaskyňa") == ["jaskyn"]
+    empty = ranking.build(docs.limit(0), "id", {"text": F.col("text")}, str(tmp_path / "none"))
+    assert ranking.bm25(empty, ["cav"]).collect() == []
 
 
-def test_similarity(spark):
-    rows = spark.createDataFrame([("domica", "domica"), ("abc", "xyz")], "a string, b string")
-    assert [r[0] for r in rows.select(joins.similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0]
+def test_a_question_reads_postings_by_token(spark, tmp_path):
+    docs = spark.range(2000).select("id", F.concat_ws(" ", F.concat(F.lit("w"), F.col("id").cast("string")), F.lit("common")).alias("text"))
+    index = ranking.build(docs, "id", {"text": F.col("text")}, str(tmp_path / "index"))
+    plan = ranking.bm25(index, ["w19"])._jdf.queryExecution().toString()
+    assert "StringStartsWith(token,w19)" in plan and "text" not in plan.split("PushedFilters")[0].split("FileScan")[-1]
+    assert ranking.bm25(index, ["w19"]).count() == 111
+
 
+def test_fielded(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "domica cave", ["x"]), (2, "other", ["domic", "y"]), (3, None, None)], "id long, title string, tags array<string>")
+    index = ranking.build(docs, "id", {"title": F.col("title"), "tags": F.col("tags")}, str(tmp_path / "index"))
+    found = {r["id"]: r["score"] for r in ranking.fielded(index, ["domica"], {"title": 4}).collect()}
+    assert set(found) == {1, 2} and found[1] > 4 * found[2] > 0
 
-def test_fuzzy_takes_every_name(spark):
-    names = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").distinct().collect()}
-    found = registry.QUERIES["jn_fuzzy"](spark, SF).collect()
-    assert {r["name"] for r in found if r["place"] == 1 and r["score"] == 1.0} == names
-    score = lambda a, b: round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 4)
-    for name in names:
-        alike = [(-score(name, c), c) for c in names if set(name.split()) & set(c.split())]
-        assert sorted((-r["score"], r["candidate"]) for r in found if r["name"] == name) == sorted(x for x in alike if x[0] <= -0.58)[:12]
+
+def test_similarity(spark):
+    rows = spark.createDataFrame([("Domica", "domica"), ("abc", "xyz"), ("", ""), ("jaskyňa Domica", "Domici jaskyna")], "a string, b string")
+    found = [r["name_score"] for r in matching.name_similarity(rows, "a", "b", ("jaskyn",)).collect()]
+    assert found[:3] == [1.0, 0.0, 1.0] and found[3] == 1.0
+
+
+def plain_stem(w):
+    for e in matching.NAME_ENDINGS:
+        if w.endswith(e) and len(w) - len(e) >= 4:
+            return w[: -len(e)]
+    return w
+
+
+def plain_score(a, b):
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    x, y = [plain_stem(w) for w in a.split()], [plain_stem(w) for w in b.split()]
+    both = len(set(x) & set(y)) / len(set(x) | set(y))
+    return round(max(ratio(a, b), ratio(" ".join(x), " ".join(y)), both), 4)
+
+
+def plain_region(context, regions):
+    key = context.lower()
+    stems, total = {plain_stem(w) for w in key.split() if len(w) > 3}, 0.0
+    for r in (r.lower().replace("_", " ") for r in regions):
+        words = [plain_stem(w) for w in r.split() if len(w) > 3]
+        total += 2.5 if r in key else sum(w in stems or w in key for w in words) / len(words) if words else 0.0
+    return round(total, 4)
+
+
+def test_fuzzy_against_all_pairs(spark):
+    """Every name against every entry that shares a stem, in plain Python."""
+    names, entries = (df.collect() for df in plan_matching.names_of(lambda t: spark.read.parquet(f"{SF}/{t}.parquet")))
+    found = {}
+    for r in registry.QUERIES["jn_fuzzy"](spark, SF).collect():
+        found.setdefault(r["key"], []).append((-r["score"], -r["context_score"], r["candidate"], r["entry"], r["name_score"]))
+    for n in names:
+        wanted = []
+        for e in entries:
+            if {plain_stem(w) for w in n["name"].split()} & {plain_stem(w) for w in e["candidate"].split()}:
+                name, region = plain_score(n["name"], e["candidate"]), plain_region(n["context"], e["regions"])
+                score = round(name + 0.12 * min(region, 4), 4)
+                if score >= 0.58:
+                    wanted.append((-score, -region, e["candidate"], e["entry"], name))
+        assert sorted(found.get(n["key"], [])) == sorted(wanted)[:12], n
 
 
 def test_links():
-    assert sources.links("<a href='/x'>A <b>b</b></a><a>no</a>", "http://h/y/") == [("http://h/x", "A b")]
+    assert harvest.anchors("<a href='/x'>A <b>b</b></a><a>no</a><a href='y' title=' T  u '><img></a>", "http://h/y/") == [("http://h/x", "A b"), ("http://h/y/y", "T u")]
 
 
 def test_files(spark, tmp_path):
@@ -126,6 +178,11 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).count() == 2 and spark.read.json(str(tmp_path / "log")).count() == 4
     files.write_relations({"a": rows}, str(tmp_path / "r"))
     files.write_jsonl(rows, str(tmp_path / "w"))
+    files.write_jsonl(rows.limit(1), str(tmp_path / "w"))
+    assert spark.read.json(str(tmp_path / "w")).count() == 1 and [p.name for p in tmp_path.iterdir() if p.name.startswith("w")] == ["w"]
+    with pytest.raises(Exception, match="(?i)by zero"):  # what fails leaves the old files
+        files.write_jsonl(rows.select((F.col("id") / F.lit(0)).alias("id")), str(tmp_path / "w"))
+    assert spark.read.json(str(tmp_path / "w")).count() == 1
     assert files.tail(spark.read.parquet(str(tmp_path / "r" / "a")), "id", 1).first()["id"] == 2
     (tmp_path / "b.json").write_text('[{"id": 1}, {"id": 2}]')
     assert files.read_json_array(spark, str(tmp_path / "b.json"), "id long").count() == 2

@@ -88,10 +88,18 @@ def test_bibliography():
     assert list(records.bibliography("")) == []
 
 
-def test_register():
-    text = "Page 1 of 2\nSlovenský kras, Silická planina\n1. 2. Domica (Stará, Nová)\n - k. ú. Kečovo, r. č. 1 234. 5.\n3. Malá - k. ú. X\nMalé Karpaty\nr. č. 7"
-    assert list(records.register(text)) == [("1.2", "1234.5", "1", "Domica", "Stará; Nová", "Slovenský kras", "Silická planina", ""), ("3", "7", "3", "Malá", "", "Slovenský kras", "Silická planina", "")]
-    assert list(records.name_register("Domica    12.3.\nBez čísla\n")) == [("12.3", "Domica")]
+def test_register(spark):
+    text = "Page 1 of 2\nSlovenský kras, Silická planina\n1. 2. Domica (Stará, Nová)\n - k. ú. Kečovo, r.\nč. 1 234. 5.\n3. Malá - k. ú. X\nMalé Karpaty\nr. č. 7\nNízke Tatry, A, B, C\nstratený riadok 1\n4. (len alias)\n5. Posledná"
+    names = records.name_register(spark.createDataFrame([(0, "Domica    1.2.\nStará  1.2.\nIná Domica 1.2.\nBez čísla\n"), (1, None)], "f long, t string"), "f", "t")
+    assert [(r["number"], r["names"]) for r in names.collect()] == [("1.2", ["Domica", "Stará", "Iná Domica"])]
+    found = records.register(spark.createDataFrame([(1, text), (2, None), (3, "")], "f long, t string"), "f", "t", names).orderBy("cave_number").collect()
+    assert [(r.cave_number, r.registry_number, r.list_number, r.official_name, r.celok, r.podcelok, r["cast"]) for r in found] == [
+        ("1.2", "1234.5", "1", "Domica", "Slovenský kras", "Silická planina", ""),
+        ("3", "7", "3", "Malá", "Slovenský kras", "Silická planina", ""),
+        ("5", "5", "5", "Posledná", "Nízke Tatry", "A", "B"),
+    ]
+    assert found[0].aliases == ["Stará", "Nová"] and found[0].names == ["Domica", "Stará", "Nová", "Iná Domica"]
+    assert records.register(spark.createDataFrame([], "f long, t string"), "f", "t").collect() == []
 
 
 def test_signature(spark):
@@ -99,6 +107,12 @@ def test_signature(spark):
     assert records.signature(lines) == ("Novák, J.", "Ján Novák", 1, 0.92)
     assert records.signature([("Peter Holúbek, predseda", 0.0), *[("slovo slovo", 0.0)] * 50])[0] == "Holúbek, P."
     assert records.signature([("malé písmená", 0.0)]) is None and records.signature([]) is None
+    assert records.signature([("Ján Novák Klub", 0.0)], ("klub",)) is None
+    assert records.signature([("Členovia skupiny Nitra", 0.0)]) == ("Členovia skupiny Nitra", "Členovia skupiny Nitra", 0, 0.98)
+    assert records.signature([("Členovia skupiny boli tam", 0.0)]) is None
+    assert records.signature([("Ján Novák,", 0.0), ("predseda", 0.0)])[:3] == ("Novák, J.", "Ján Novák, predseda", 0)
+    far = [("predsedu Ján Novák", 0.0), *[("slovo slovo", 0.0)] * 9, ("Ján Novák", 0.0), *[("slovo slovo", 0.0)] * 5]
+    assert records.signature(far) == ("Novák, J.", "Ján Novák", 10, 0.88)
     rows = spark.createDataFrame([(1, ["J. Kováč", None], [1.0, None]), (2, None, None), (3, [], [])], "id long, l array<string>, y array<double>")
     assert [(r["id"], r["authors"], r["place"]) for r in records.signatures(rows, "id", "l", "y").collect()] == [(1, "Kováč, J.", 0)]
 
