@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skribo.functions import articles as A
 from skribo.functions import features, pages
 from skribo.functions import text as X
-from skribo.operators import audit, harvest, matching, numbering, relations, runs
+from skribo.operators import audit, external, harvest, matching, numbering, relations, runs
 
 
 def value(spark, column):
@@ -157,3 +157,32 @@ def test_harvest(spark):
 
 def test_fold_keeps_sharp_s(spark):
     assert value(spark, X.fold(F.lit("Straße ŁÓDŹ")))[:7] == "strasse"
+
+
+def test_programs_that_fail(spark):
+    rows = spark.createDataFrame([(1, b"a\fb\f"), (2, None), (3, b"")], "id long, c binary")
+    read = external.read_by_program(rows, ["id"], "c", ["cat"]).orderBy("id").collect()
+    assert [(r["text"], r["status"]) for r in read] == [("a\fb\f", "ok"), (None, "failed: missing file"), ("", "empty_text")]
+    pages_ = external.pages_of(spark.createDataFrame([(r["id"], r["text"]) for r in read], "id long, text string"), ["id"], "text").collect()
+    assert [(r["id"], r["page"], r["text"]) for r in pages_] == [(1, 1, "a"), (1, 2, "b")]
+    status = lambda command, **k: external.read_by_program(rows.where("id = 1"), ["id"], "c", command, **k).first()["status"]
+    assert status(["false"]) == "failed: 1" and status(["sleep", "9"], timeout=0.2) == "timeout" and status(["/no/such/program"]).startswith("failed: No such file")
+
+
+def test_pictures():
+    import numpy as np
+
+    white = np.full((4, 6, 3), 255, np.uint8)
+    assert external.pixel_shares(white) == {"white": 1.0, "dark": 0.0, "colour": 0.0, "edges": 0.0} and external.drawing_score(external.pixel_shares(white)) == 0.34
+    drawn = np.full((20, 20, 3), 255, np.uint8)
+    drawn[10, 5:15] = 0
+    shares = external.pixel_shares(drawn)
+    assert shares["dark"] == 0.025 and 0.028 < shares["edges"] < 0.03 and external.drawing_score(shares) == 0.54
+    photo = np.zeros((4, 4, 3), np.uint8)
+    photo[:, :, 0] = 200
+    assert external.pixel_shares(photo)["colour"] == 1.0 and external.drawing_score(external.pixel_shares(photo)) == 0.0
+
+
+def test_reports(spark):
+    of = lambda *a: value(spark, external.report_problem(*[F.lit(x).cast("string") for x in a], ("error", "edit"), ("edit",)))
+    assert [of(None, "error", "long enough text", None), of("x", "error", "long enough text", None), of("", "other", "long enough text", ""), of("", "error", " short  ", ""), of("", "edit", None, ""), of("", "error", "long enough text", "a b@c.d")] == [None, "invalid report", "invalid type", "message too short", None, "invalid email"]
