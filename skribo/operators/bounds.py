@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skribo.functions.text import MARKED, PLAIN, fold
+from skribo.functions.text import MARKED, PLAIN
 
 #: Letters a title has at least, the part of a text its title must begin in, characters that must lie between
 #: two titles and be left over, and the tokens of a snippet.

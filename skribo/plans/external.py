@@ -11,7 +11,8 @@ from skribo.functions import text as X
 from skribo.operators import external as E
 from skribo.plans.articles import _PAGED, ARTICLES, articles, paged
 from skribo.plans.audits import BAD_WORDS
-from skribo.plans.base import query
+from skribo.plans.base import ORACLE_SQL, query
+from skribo.plans.records import text_map
 
 _PARTS = f"SELECT id, p, unnest(range(1, len(p) + CASE WHEN p[-1] = '' THEN 0 ELSE 1 END)) AS page FROM (SELECT id, string_split(t, chr(12)) AS p FROM t)"
 
@@ -90,6 +91,19 @@ def visual_px(t):
     return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("white", "dark", "edges")], "score")
 
 
+@query(
+    "sc_prefilter",
+    f"""SELECT doc_id, o OR r AS candidate, CASE WHEN o THEN 'caption_object' WHEN r THEN 'ocr_object_without_caption' ELSE '' END AS sources, round(greatest(t / 4, v, CASE WHEN o THEN 0.0 ELSE k END), 3)::DOUBLE AS score
+    FROM (SELECT *, s >= 0.55 AS o, s < 0.55 AND doc_id % 3 = 0 AS r FROM (SELECT a.doc_id, a.score AS t, b.score AS v, (a.doc_id % 20) / 20.0::DOUBLE AS s, (a.doc_id % 10) / 10.0::DOUBLE AS k FROM ({ORACLE_SQL['sc_text_map']}) a JOIN ({ORACLE_SQL['sc_visual_px']}) b ON a.doc_id = b.doc_id))""",
+)
+def prefilter(t):
+    """Pages by the scores of their text and picture, and of objects below captions and in OCR texts."""
+    i = F.col("doc_id")
+    rows = text_map(t).withColumnRenamed("score", "text").join(visual_px(t).withColumnRenamed("score", "picture"), "doc_id")
+    made = D.prefilter(F.col("text"), F.col("picture"), (i % 20) / 20.0, (i % 10) / 10.0, i % 3 == 0)
+    return rows.select("doc_id", made["candidate"].alias("candidate"), F.array_join(made["sources"], ",").alias("sources"), made["score"].alias("score"))
+
+
 _LOG = "SELECT user_id AS run, event_id % 6 AS item, CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE event_type END AS status, ts, event_id, value FROM events"
 _STATE = f"""WITH e AS ({_LOG}), l AS (SELECT run, item, arg_max(status, (ts, event_id)) AS status, max((ts, event_id)) AS seen, count(*) FILTER (WHERE status = 'running') AS tries FROM e GROUP BY 1, 2),
     s AS (SELECT run, item, CASE WHEN status = 'running' AND seen < max(seen) OVER (PARTITION BY run) THEN 'interrupted' ELSE status END AS status, tries FROM l)"""

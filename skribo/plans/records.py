@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from skribo.functions import detection as D
 from skribo.functions import text as X
 from skribo.operators import bounds, records
-from skribo.plans.base import query
+from skribo.plans.articles import ARTICLES, articles
 from skribo.plans.audits import BAD_WORDS
+from skribo.plans.base import query
 from skribo.plans.texts import key_sql
 
 _STRIP = r"regexp_replace({}, '\A\s+|\s+\z', '', 'g')"
@@ -68,31 +69,26 @@ def text_map(t):
     return t("documents").select("doc_id", D.map_score(F.concat(line, F.lit("\n"), "text")).alias("score"))
 
 
-@query(
-    "sc_prefilter",
-    """SELECT l_orderkey, l_linenumber, o OR r AS candidate, CASE WHEN o THEN 'caption_object' WHEN r THEN 'ocr_object_without_caption' ELSE '' END AS sources,
-    round(greatest(l_quantity / 10 / 4, l_discount, CASE WHEN o THEN 0 ELSE l_tax END), 3)::DOUBLE AS score FROM (SELECT *, l_discount * 10 >= 0.55 AS o, l_discount * 10 < 0.55 AND l_returnflag = 'R' AS r FROM lineitem)""",
-)
-def prefilter(t):
-    made = D.prefilter(F.col("l_quantity") / 10, F.col("l_discount"), F.col("l_discount") * 10, F.col("l_tax"), F.col("l_returnflag") == "R")
-    return t("lineitem").select("l_orderkey", "l_linenumber", made["candidate"].alias("candidate"), F.array_join(made["sources"], ",").alias("sources"), made["score"].alias("score"))
-
-
 _BAD = "|".join(BAD_WORDS)
 _COUNT = "len(list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)), lambda x: x IN (" + ", ".join(f"'{w}'" for w in BAD_WORDS) + "))))"
 _WORDS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+'))"
 
 
+_T = lambda of, least: f"list_filter(regexp_split_to_array(lower({of}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= {least})"
+_IN = lambda words: f"len(list_filter({words}, lambda w: contains(array_to_string({_T('r', 1)}, ' '), w)))"
+_HELD = f"""({_IN(f"({_T('title', 5)})[1:8]")} + 3 * {_IN(f"flatten(list_transform(authors, lambda s: {_T("split_part(s, ',', 1)", 4)}))")} + {_IN(f"({_T('abstract', 6)})[1:12]")})"""
+
+
 @query(
     "sc_reocr",
     f"""WITH a AS (SELECT doc_id, text AS o, CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '{_BAD}', 'word', 'g') WHEN 1 THEN substr(text, 1, length(text) // 2) ELSE '' END AS r FROM documents),
     b AS (SELECT *, {_COUNT.format('o')} AS ob, {_COUNT.format('r')} AS rb, {_WORDS.format('o')} AS ow, {_WORDS.format('r')} AS rw FROM a)
     SELECT doc_id, CASE WHEN trim(o) = '' THEN 'empty_text' WHEN length(o) < 300 THEN 'too_short_to_judge' WHEN doc_id % 2 = 0 AND ob >= 2 THEN 'font_unicode_map_missing_and_bad_tokens' WHEN ob >= 4 THEN 'bad_tokens' ELSE 'quality_ok' END AS layer,
     CASE WHEN trim(r) = '' THEN 'ocr_empty' WHEN trim(o) <> '' AND length(r) < greatest(200, floor(length(o) * 0.55)) AND rb < ob AND ow > 0 AND rw >= greatest(50, floor(ow * 0.8)) THEN 'fewer_bad_tokens_with_comparable_words'
-      WHEN trim(o) <> '' AND length(r) < greatest(200, floor(length(o) * 0.55)) THEN 'ocr_too_short' WHEN rb < ob THEN 'fewer_bad_tokens' WHEN trim(o) = '' THEN 'original_empty' ELSE 'not_better' END AS verdict FROM b""",
+      WHEN trim(o) <> '' AND length(r) < greatest(200, floor(length(o) * 0.55)) THEN 'ocr_too_short' WHEN rb < ob THEN 'fewer_bad_tokens' WHEN trim(o) = '' THEN 'original_empty' ELSE 'not_better' END AS verdict, {_HELD} AS article_score FROM b JOIN ({ARTICLES}) y ON y.id = doc_id""",
 )
 def reocr(t):
-    """The second reading has the bad words mended, or is half the text, or is empty."""
+    """Whether texts are to be read again, whether the second reading is taken (it has the bad words mended, or is half the text, or is empty), and how much of its article it holds."""
     new = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", _BAD, "word")).when(F.col("doc_id") % 3 == 1, F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))).otherwise("")
 
     def counted(c: str):
@@ -102,7 +98,9 @@ def reocr(t):
     rows = t("documents").select("doc_id", F.col("text").alias("old"), new.alias("new")).select("*", *counted("old"), *counted("new"))
     layer = D.needs_ocr(F.col("old"), F.col("old_bad"), F.col("doc_id") % 2 == 0)
     verdict = D.ocr_verdict(F.col("old"), F.col("new"), F.col("old_bad"), F.col("new_bad"), F.col("old_words"), F.col("new_words"))
-    return rows.select("doc_id", layer.alias("layer"), verdict.alias("verdict"))
+    known = articles(t).select(F.col("id").alias("doc_id"), "title", "authors", "abstract")
+    score = D.article_score(F.col("new"), F.col("title"), F.col("authors"), F.col("abstract"))
+    return rows.join(known, "doc_id").select("doc_id", layer.alias("layer"), verdict.alias("verdict"), score.alias("article_score"))
 
 
 _EXTRAS = ["", "3 obr.", "2 tab., res.", "12 pl. j., lit., map."]
