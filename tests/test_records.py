@@ -86,6 +86,8 @@ def test_bibliography():
     assert found[0] == (1, "Roda, Š.; Bella, P.", "Prvý názov", "5-9", "2 obr.; lit.", 1971, "II.", "2-3", "O čom to je. 9. toto nie je záznam")
     assert [(f[0], f[1], f[2], f[7]) for f in found[1:]] == [(2, "Anonymus", "Inzercia", "2-3"), (3, "Autor", "Tretí", "4")]
     assert list(records.bibliography("")) == []
+    free = list(records.bibliography("7. A: Prvý, s. 1\ntext\nSPRÁVY\n3. B: Druhý, s. 2", sequential=False, headings="[A-ZÁ-Ž ]+"))
+    assert [(f[0], f[2], f[8]) for f in free] == [(7, "Prvý", "text"), (3, "Druhý", "")]
 
 
 def test_register(spark):
@@ -108,6 +110,8 @@ def test_signature(spark):
     assert records.signature([("Peter Holúbek, predseda", 0.0), *[("slovo slovo", 0.0)] * 50])[0] == "Holúbek, P."
     assert records.signature([("malé písmená", 0.0)]) is None and records.signature([]) is None
     assert records.signature([("Ján Novák Klub", 0.0)], ("klub",)) is None
+    assert records.signature([("Ján Novák s príspevkami členov", 0.0)])[::3] == ("Novák, J.", 0.92)
+    assert records.signature([("za výbor skupiny Ján Novák", 0.0)])[0] == "Novák, J." and records.signature([("Bolo to pekné. Ján Novák", 0.0)])[0] == "Novák, J."
     assert records.signature([("Členovia skupiny Nitra", 0.0)]) == ("Členovia skupiny Nitra", "Členovia skupiny Nitra", 0, 0.98)
     assert records.signature([("Členovia skupiny boli tam", 0.0)]) is None
     assert records.signature([("Ján Novák,", 0.0), ("predseda", 0.0)])[:3] == ("Novák, J.", "Ján Novák, predseda", 0)
