@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skribo.llm.common import checkpointed
+
 #: Hashed features; rated documents that the fit takes at most, and bytes of their texts; passes over them.
 FEATURES, SAMPLE, SAMPLE_BYTES, PASSES = 1 << 17, 6000, 1 << 26, 12
 #: Letters of a word's beginnings.
@@ -128,7 +130,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, passes: i
     rng = np.random.default_rng(7)
     for _ in range(passes if len(rows) else 0):
         for i in rng.permutation(len(rows)):
-            at, x = rows[i]
+            at, x = rows[i][0], rows[i][1].astype(float)
             t = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
             s = float(weights[at] @ x) if len(at) else 0.0
             _, ds, dt = slopes(s, t, int(grades[i]))
@@ -165,18 +167,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     order = F.md5(F.concat(F.lit(SEED), F.col("doc_id").cast("string")))
     chosen = rated.orderBy(order, "doc_id").limit(sample).withColumn("place", order)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("same"))
-    sizes = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "place", "grade", "same", F.octet_length("text").cast("long").alias("size"))  # sample rows at most
-    first = sizes.groupBy("doc_id").agg(F.min(F.struct("same", "size")).alias("m"), F.first("place").alias("place"), F.first("grade").alias("grade"))
+    least = F.min(F.struct("same", F.octet_length("text").cast("long").alias("size"), "text")).alias("m")
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "place", "grade").agg(least)  # sample rows at most
+    one = checkpointed(one.select("doc_id", "place", "grade", "m.size", "m.text").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "doc_id"))
     left, taken = sample_bytes, []
-    for r in sorted(first.collect(), key=lambda r: (r["place"], r["doc_id"])):
-        if r["m"]["size"] <= left:
-            left -= r["m"]["size"]
-            taken.append((r["doc_id"], r["m"]["same"], r["grade"]))
-    kept = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, same long, grade int"))
-    # equal rows of an id give equal features
-    made = rows.join(kept, ["doc_id", "same"]).select("doc_id", "grade", "text").mapInPandas(_features, "doc_id long, grade int, at binary, x binary").dropDuplicates(["doc_id"]).collect()
-    made.sort(key=lambda r: r["doc_id"])
-    return fit([(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in made], np.array([r["grade"] for r in made]))
+    for r in one.select("doc_id", "place", "size").orderBy("place", "doc_id").collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.append((r["doc_id"],))
+    kept = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long"))
+    made = one.select("doc_id", "grade", "text").join(kept, "doc_id").mapInPandas(_features, "doc_id long, grade int, at binary, x binary").toArrow()
+    made = made.sort_by("doc_id")
+    at, x = (([np.frombuffer(v.as_buffer(), kind) for v in made[c]]) for c, kind in (("at", np.int32), ("x", np.float32)))
+    return fit(list(zip(at, x, strict=True)), made["grade"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), keep_from: float = KEEP_FROM) -> DataFrame:
