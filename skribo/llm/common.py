@@ -65,3 +65,13 @@ def join_uneven(left: DataFrame, right: DataFrame, key: str, rows: str, total: i
     many = F.broadcast(right.where(hot).drop(rows))
     few = left.join(many.select(key), key, "left_anti").join(right.where(~hot).drop(rows), key)
     return left.join(many, key).unionByName(few)
+
+
+#: Repeated ids up to which they are broadcast.
+BROADCAST_IDS = 100_000
+
+
+def repeated_ids(rows: DataFrame) -> DataFrame | None:
+    """again: the ids of rows that more than one row has; None if they are more than BROADCAST_IDS."""
+    again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    return None if again.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS else again

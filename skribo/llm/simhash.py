@@ -7,9 +7,10 @@ again under each of those. Distinct fingerprints run out of open bits, which bou
 meet are linked by a search that takes each fingerprint once and compares it with the ones not reached yet, so a group leaves
 as a tree, not as all of its pairs. Components follow by contracting the trees' edges, a few rounds of joins.
 
-one_of_each drops near copies by similarity of their sets of shingles. Fingerprints of the sets link what is close the same way, each link
-verified by the texts. Two sets of similarity 0.8 may differ in 15 % of the bits, too many for blocks; what fingerprints don't link is
-found by the first shingles of the sets in a common order, common shingles last, of which two such sets share one.
+one_of_each drops near copies by similarity of their sets of shingles. Two sets of similarity 0.8 may differ in 15 % of a fingerprint's
+bits, too many for blocks of bits; so sets meet under the first shingles of each in a common order, common shingles last, of which two such
+sets share one. Fingerprints tell which of those that meet is the closest to each: that link is verified by the texts first, and
+the few pairs that are not connected by then follow.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skribo.llm.common import checkpointed, join_uneven
+from skribo.llm.common import checkpointed, join_uneven, repeated_ids
 
 #: Words of a shingle, bits in which linked fingerprints may differ, seed of the hash.
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -247,7 +248,7 @@ def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _prefixes(size: int, common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, same, a name of the set of shingles, its size and fingerprint, and as many of the first in the order as two alike sets must share one of.
+    """key, a name of the set of shingles, its size and fingerprint, and as many of the first in the order as two alike sets must share one of.
 
     common: sorted shingles and their ranks, in two rows. They come last, by rank; the others are ordered by hash.
     """
@@ -265,7 +266,7 @@ def _prefixes(size: int, common: np.ndarray, batches: Iterator[pa.RecordBatch])
                 x = np.concatenate([x[~last], x[last][np.argsort(common[1][at[last]])]])
             prefixes.append(x[: n + NEAR[0] * n // -NEAR[1] + 1].tobytes())
         made = pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), *made], names=["doc_id", "same", "name", "n", "fp", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "name", "n", "fp", "prefix"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +276,9 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = np.array([len(x) // 8 for x in prefixes], np.int64)
         first = np.cumsum(length) - length
         at = np.arange(length.sum()) - np.repeat(first, length)
-        columns = np.frombuffer(b"".join(prefixes), np.int64), np.repeat(batch.column("node").to_numpy(), length), at.astype(np.int32), np.repeat(batch.column("n").to_numpy(), length)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "at", "n"])
+        others = [np.repeat(batch.column(c).to_numpy(), length) for c in ("node", "n", "fp")]
+        columns = np.frombuffer(b"".join(prefixes), np.int64), others[0], at.astype(np.int32), *others[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "at", "n", "fp"])
 
 
 def _whole_keys(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -303,13 +305,14 @@ def _whole_keys(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> It
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key others have too, and the key's first node where the two can be alike, else the row's own."""
-    for (key, node, at, n), starts, ends in _whole_keys(("key", "node", "at", "n"), batches):
+    """The rows whose key others have too; the key's first node where the two can be alike, else the row's own, and the bits in which the fingerprints of both differ."""
+    for (key, node, at, n, fp), starts, ends in _whole_keys(("key", "node", "at", "n", "fp"), batches):
         sizes = ends - starts
         hub = np.repeat(starts, sizes)
         first = np.where(_possible(n.astype(np.int64), at, n[hub].astype(np.int64), at[hub]), node[hub], node)
         more = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node, at, n, first)], names=["key", "node", "at", "n", "hub"])
+        apart = np.bitwise_count(fp.view(np.uint64) ^ fp[hub].view(np.uint64)).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node, at, n, first, apart)], names=["key", "node", "at", "n", "hub", "apart"])
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,64 +370,63 @@ def _ranks(common: np.ndarray) -> np.ndarray:
     return np.stack([common[order], (len(common) - order).astype(np.uint64)])
 
 
-def _sharing(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """prints: doc_id, same, name of every document; nodes: node, name, doc_id, same, fp, rows of every distinct set of shingles, the
-    least document that has it and how many have; shared: key, node, at, n, hub, its first shingles that others have too.
+def _prints(rows: DataFrame, size: int, common: np.ndarray) -> DataFrame:
+    ranks = _ranks(common)
+    return rows.select("id", "text").mapInArrow(lambda batches: _prefixes(size, ranks, batches), "id long, name binary, n int, fp long, prefix binary")
+
+
+def _sharing(nodes: DataFrame, texts: DataFrame, size: int, common: np.ndarray) -> DataFrame:
+    """key, node, at, n, hub, apart: of nodes (node, n, fp, prefix) the first shingles that others have too.
 
     A first shingle of more than CROWDED sets is common, whatever the sample said, and the sets are ordered anew.
     """
-    common, again = common_shingles(rows, size), True
-    while True:
-        ranks = _ranks(common)
-        made = checkpointed(rows.mapInArrow(lambda batches, ranks=ranks: _prefixes(size, ranks, batches), "doc_id long, same long, name binary, n int, fp long, prefix binary"))
-        least = made.groupBy("name").agg(F.min(F.struct("doc_id", "same")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
-        nodes = checkpointed(least.select(F.monotonically_increasing_id().alias("node"), "name", "least.doc_id", "least.same", "n", "fp", "prefix", "rows"))
-        keys = nodes.select("node", "n", "prefix").mapInArrow(_placed, "key long, node long, at int, n int")
-        shared = checkpointed(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, at int, n int, hub long"))
-        crowded = shared.groupBy("key").count().where(F.col("count") > CROWDED).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect() if again else []
-        if not crowded:
-            return made.select("doc_id", "same", "name"), nodes.drop("prefix", "n"), shared
-        found = np.array([r["key"] for r in crowded], np.int64).view(np.uint64)
-        common, again = np.concatenate([found, common[~np.isin(common, found)]]), False
+
+    def shared(nodes: DataFrame) -> DataFrame:
+        keys = nodes.select("node", "n", "fp", "prefix").mapInArrow(_placed, "key long, node long, at int, n int, fp long")
+        return checkpointed(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, at int, n int, hub long, apart byte"))
+
+    found = shared(nodes)
+    crowded = found.groupBy("key").count().where(F.col("count") > CROWDED).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()
+    if not crowded:
+        return found
+    more = np.array([r["key"] for r in crowded], np.int64).view(np.uint64)
+    anew = _prints(texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), size, np.concatenate([more, common[~np.isin(common, more)]]))
+    return shared(anew.withColumnRenamed("id", "node"))
 
 
 def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """doc_id, same (a hash of the text), node (a number of its set of shingles) of every document; u, v: pairs of nodes whose sets
+    """doc_id, same (a hash of the text), node (the least number of a text with that set of shingles) of every document; u, v: pairs of nodes whose sets
     have similarity NEAR at least, which connect all that such pairs connect.
 
-    Sets with close fingerprints are linked first. Two sets of similarity NEAR share one of the first shingles of each, whatever the
-    order, so nothing is missed: those that share one are compared with the least node that has it, then with all others that are not in
-    their component by then. Every link is verified by the texts.
+    A text's number is its id, or a hash of id and text where an id is repeated. Two sets of similarity NEAR share one of the first
+    shingles of each, whatever the order, so nothing is missed: each is compared with the closest, by fingerprint, of the least ones that have
+    one of its shingles, then with all others that are not in its component by then. Every link is verified by the texts.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    prints, nodes, shared = _sharing(rows, size)
-    member = join_uneven(prints, nodes.select("name", "node", "rows"), "name", "rows", prints.count()).select("doc_id", "same", "node")
+    again = repeated_ids(docs)
+    if again is None:
+        rows = rows.withColumn("id", F.xxhash64("doc_id", "same"))
+    else:
+        rows = rows.join(F.broadcast(again), F.col("doc_id") == F.col("again"), "left").withColumn("id", F.when(F.col("again").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "same"))).drop("again")
+    common = common_shingles(rows, size)
+    prints = checkpointed(_prints(rows, size, common))
+    nodes = prints.groupBy("name").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
+    member = join_uneven(prints.select("id", "name"), nodes.select("name", "node", "rows"), "name", "rows", prints.count())
+    texts = rows.select("id", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         for x in ("u", "v"):
-            named = nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("same").alias(f"same_{x}"))
-            texts = rows.select(F.col("doc_id").alias(f"id_{x}"), F.col("same").alias(f"same_{x}"), F.col("text").alias(f"text_{x}"))
-            pairs = pairs.join(named, x).join(texts, [f"id_{x}", f"same_{x}"])
-        return checkpointed(pairs.select("u", "v", "text_u", "text_v").mapInArrow(lambda batches: _verified(size, batches), "u long, v long").distinct())
-
-    def apart(pairs: DataFrame, near: DataFrame) -> DataFrame:
-        """The pairs that are not in one component of near."""
-        roots = components(near)
-        for x in ("u", "v"):
-            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
-        return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-
-    prints_of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    ends = links(prints_of.select("fp")).distinct()
-    for x in ("u", "v"):
-        ends = ends.withColumnRenamed(x, "fp").join(prints_of, "fp").drop("fp").withColumnRenamed("node", x)
-    equal = nodes.select("fp", F.col("node").alias("u")).join(prints_of.withColumnRenamed("node", "v"), "fp").where("u <> v").select("u", "v")
-    near = verified(ends.select("u", "v").unionByName(equal))
-    stars = shared.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    near = near.unionByName(verified(apart(stars, near)))
-    rooted = shared.drop("hub").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")), x)
+        return checkpointed(pairs.mapInArrow(lambda batches: _verified(size, batches), "u long, v long").distinct())
+
+    shared = _sharing(nodes, texts, size, common)
+    closest = shared.where("hub <> node").groupBy(F.col("node").alias("v")).agg(F.min(F.struct("apart", "hub")).alias("m")).select(F.col("m.hub").alias("u"), "v")
+    near = verified(closest)
+    rooted = shared.drop("hub", "apart").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     crossing = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "u long, v long")
-    return member, near.unionByName(verified(crossing.where("u <> v").distinct().join(stars, ["u", "v"], "left_anti")))
+    near = near.unionByName(verified(crossing.where("u <> v").distinct().join(closest, ["u", "v"], "left_anti")))
+    own = rows.select("doc_id", "same", "id").join(member.select("id", "node").distinct(), "id")
+    return own.select("doc_id", "same", "node"), near
 
 
 def copies(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
@@ -433,8 +435,7 @@ def copies(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
     Texts without words are copies of each other. Null ids are not grouped; rows that repeat an id and a text are one document.
     """
     member, edges = similar(docs, size)
-    roots = components(edges)
-    member = checkpointed(member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
+    member = checkpointed(member.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
     groups = member.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("first"), F.count("*").alias("rows"))
     named = join_uneven(member, groups, "root", "rows", member.count())
     return named.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("same") != F.col("first.same"))).select("doc_id", "same", F.col("first.doc_id").alias("root")).distinct()

@@ -11,7 +11,7 @@ import tokenizers
 from brute import TEXTS, components, contamination, fingerprint, licenses, ordinal_fit, places, repeats, targets, words
 from pyspark.sql import functions as F
 
-from skribo.llm import decontaminate, html_text, license_scan, mixing, ordinal_quality, paragraph_sketch, queries, simhash, suffix_dedup, token_counts, warc
+from skribo.llm import common, decontaminate, html_text, license_scan, mixing, ordinal_quality, paragraph_sketch, queries, simhash, suffix_dedup, token_counts, warc
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, w string, p int, id int, word string, hash string, size int, key int, range int, target int, fp int, rows int, url string"
@@ -264,7 +264,9 @@ def test_near_copies_go(spark):
     same([(i,) for i in kept], [(k,) for k in range(60)] + [(None,), (None,), (5000,)])
 
 
-def test_near_dedup_tells_texts_of_an_id_apart(spark):
+@pytest.mark.parametrize("few", [common.BROADCAST_IDS, 0])
+def test_near_dedup_tells_texts_of_an_id_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "BROADCAST_IDS", few)
     a, unique = " ".join(f"a{k}" for k in range(50)), " ".join(f"u{k}" for k in range(50))
     rows = [(1, a, "s"), (5, a, "s"), (5, unique, "s"), (6, unique + " more", "s"), (7, "one two", "s")]
     same([(r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows)).collect()], [(1, a), (5, unique), (7, "one two")])
@@ -402,10 +404,10 @@ def test_suffix_dedup(spark, documents, whole):
     assert suffix_dedup.without_repeats(frame(spark, rows).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("few", [suffix_dedup.BROADCAST_IDS, 1])
+@pytest.mark.parametrize("few", [common.BROADCAST_IDS, 1])
 def test_suffix_dedup_of_null_and_repeated_ids(spark, monkeypatch, few):
     """1,500 texts without an id, and ids that several texts share, some of them twice."""
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", few)
+    monkeypatch.setattr(common, "BROADCAST_IDS", few)
     rng = random.Random(14)
     text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     passages = [text(150) for _ in range(5)]
@@ -565,6 +567,44 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_beside_columns_named_like_its_own(spark):
+    """Repeats by the hundred, one of them under columns that the operator uses itself."""
+    big = "<p>page</p>" * 30
+    rows = [(k, "u", big if k % 3 else f"{k} {big}", b"x", 1, True, 2, 3) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload binary, id long, revisit boolean, first long, n long")
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert found == {k: ("revisit", 1) if k % 3 and k > 1 else ("response", None) for k in range(300)}
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 words beside short ones."""
+    rng = random.Random(19)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    rows = [(1, text, "a"), (2, "short", "a"), (3, text + " end", "b"), (4, None, "b")]
+    docs = frame(spark, rows)
+    sketches = {r.doc_id: r for r in paragraph_sketch.fingerprints(docs).collect()}
+    assert sketches[1].n_chars == len(text) and sketches[3].near_next == 0.0 and 0.5 < sketches[1].near_edited < 1
+    same([(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()], [(1, 1), (2, 2), (3, 1), (4, 4)])
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {1: 200_000, 2: 1, 3: 200_001, 4: 0}
+    same([(r.doc_id,) for r in simhash.one_of_each(docs).collect()], [(1,), (2,), (4,)])
+    assert license_scan.scan(docs).where("doc_id = 3").first().n_words == 200_001
+
+
+def test_mixing_takes_a_weight(spark):
+    rows = [(k, "some words here " * 5, "a" if k < 900 else "b") for k in range(1200)]
+    docs = frame(spark, rows).withColumn("weight", F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.1))
+    found = mixing.mix(docs, weight=F.col("weight")).where("source = 'a'").collect()
+    even, odd = (sum(r.copies for r in found if r.doc_id % 2 == k) for k in (0, 1))
+    assert even > 2 * odd
+
+
+def test_mixing_tells_rows_of_an_id_apart(spark):
+    """Rows that repeat an id and text but differ elsewhere are mixed each by itself; equal rows together."""
+    docs = spark.createDataFrame([(1, "a b c", "x", "en"), (1, "a b c", "x", "de"), (2, "d e", "x", "en"), (2, "d e", "x", "en")], "doc_id long, text string, source string, lang string")
+    found = mixing.sampled(docs).groupBy("doc_id", "lang").agg(F.count("*").alias("n")).collect()
+    same([tuple(r) for r in found], [(1, "en", 1), (1, "de", 1), (2, "en", 2)])
+
+
 def test_warc_files_and_damage(spark, tmp_path):
     import gzip
 
