@@ -69,7 +69,7 @@ def exchange_formats(key: Column, authors: Column, title: Column, journal: Colum
 #: The entity types, and the lists that each is merged of, in order. a_ stands for the article's, k_ for the knowledge's own lists, n_ for the ones nested in the article.
 ENTITY_LISTS = {
     "cave": ("caves", "k_caves"),
-    "sss_group": ("groups", "k_groups"),
+    "group": ("groups", "k_groups"),
     "theme": ("tags", "k_themes", "n_keywords"),
     "keyword": ("k_keywords", "n_keywords"),
     "location": ("k_locations", "n_locations"),

@@ -125,7 +125,7 @@ def _row_sql() -> dict[str, str]:
         "pdf_cache": "CASE WHEN pdf_url <> '' THEN left(sha1(pdf_url), 10) ELSE '' END",
         "abstract": "CASE WHEN summary <> '' THEN summary ELSE abstract END",
         "summary": "summary",
-        "lalkovic_note": "''",
+        "bibliographic_note": "''",
         "text_chars": "length(text)",
         "word_count": "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))",
         "fulltext_status": "CASE WHEN id % 4 = 0 THEN 'ok+title_trimmed' ELSE 'ok' END",
@@ -183,7 +183,7 @@ def article_row(t):
         "pdf_cache": F.when(c("pdf_url") != "", F.substring(F.sha1("pdf_url"), 1, 10)).otherwise(""),
         "abstract": F.when(c("summary") != "", c("summary")).otherwise(c("abstract")),
         "summary": c("summary"),
-        "lalkovic_note": F.lit(""),
+        "bibliographic_note": F.lit(""),
         "text_chars": F.length("text"),
         "word_count": F.size(X.runs(c("text"), underscore=True)),
         "fulltext_status": F.when(cut, "ok+title_trimmed").otherwise("ok"),
@@ -230,19 +230,19 @@ def change_log(rows, key: str, new: dict):
     return rows.select(key, F.explode(F.array_compact(F.array(*one))).alias("c")).select(key, "c.*")
 
 
-_TIMELINES = "SELECT DISTINCT e.type, {key} AS k, e.id, a.year FROM (" + _entities_sql() + ") e JOIN a ON a.id = e.id WHERE e.type IN ('cave', 'sss_group', 'location', 'person')"
+_TIMELINES = "SELECT DISTINCT e.type, {key} AS k, e.id, a.year FROM (" + _entities_sql() + ") e JOIN a ON a.id = e.id WHERE e.type IN ('cave', 'group', 'location', 'person')"
 
 
 @query(
     "ag_timeline",
-    f"""WITH a AS ({ARTICLES}), r AS ({_TIMELINES.format(key=key_sql('e.name'))}), g AS (SELECT type, k, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 2 OR type IN ('cave', 'sss_group'))
+    f"""WITH a AS ({ARTICLES}), r AS ({_TIMELINES.format(key=key_sql('e.name'))}), g AS (SELECT type, k, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 2 OR type IN ('cave', 'group'))
     SELECT r.type, r.k AS name, n, r.year, r.id AS article, CASE WHEN summary <> '' THEN summary ELSE abstract END AS summary FROM r JOIN g ON r.type = g.type AND r.k = g.k JOIN a ON a.id = r.id""",
 )
 def timeline(t):
     """Entities with their articles, a row each, in all caves and groups and in places and persons of two articles or more."""
     rows = articles(t)
-    kept = entity_rows(rows).where(F.col("type").isin("cave", "sss_group", "location", "person")).select("type", X.normalize_key(F.col("name")).alias("name"), "id").distinct()
-    groups = kept.groupBy("type", "name").agg(F.count("*").alias("n")).where((F.col("n") >= 2) | F.col("type").isin("cave", "sss_group"))
+    kept = entity_rows(rows).where(F.col("type").isin("cave", "group", "location", "person")).select("type", X.normalize_key(F.col("name")).alias("name"), "id").distinct()
+    groups = kept.groupBy("type", "name").agg(F.count("*").alias("n")).where((F.col("n") >= 2) | F.col("type").isin("cave", "group"))
     told = rows.select("id", "year", F.when(F.col("summary") != "", F.col("summary")).otherwise(F.col("abstract")).alias("summary"))
     return kept.join(groups, ["type", "name"]).join(told, "id").select("type", "name", "n", "year", F.col("id").alias("article"), "summary")
 
