@@ -39,6 +39,8 @@ NAMES = frozenset(
 )
 #: Of these, those that name foreign matter wherever they stand in a class, and those that within an article are no name of its own parts.
 FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense sponsored cookie cookies comment comments disqus".split())
+#: Words that make a class a state of what surrounds the named thing.
+STATES = frozenset("has no with without is open closed enabled disabled".split())
 OF_ARTICLES = frozenset("header masthead banner main article social search reply skip".split())
 _KEPT = frozenset(("html", "body", "main", "article"))
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
@@ -55,7 +57,8 @@ def _named(attributes: str, in_article: bool) -> int:
     for m in _NAMED.finditer(attributes):
         for token in (m[1] or m[2] or m[3] or "").split():
             parts = [w.lower() for w in _WORD.findall(token)]
-            if not FOREIGN.isdisjoint(parts) or token.lower() in NAMES and not (in_article and token.lower() in OF_ARTICLES):
+            state = not STATES.isdisjoint(parts)
+            if not FOREIGN.isdisjoint(parts) and not state or token.lower() in NAMES and not (in_article and token.lower() in OF_ARTICLES):
                 return 2
             if not in_article and not NAMES.isdisjoint(parts):
                 found = 1

@@ -497,6 +497,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="<p>no</p>";<
         ("<div class='content has-sidebar'><p>%s</p><div class=sidebar><p>%s</p></div></div>" % ("long text " * 20, "side text " * 30), ("long text " * 20).strip()),
         ("<div id='search-results'><p>%s</p></div><div class='top-menu'>%s</div>" % ("long text " * 20, "entry " * 20), ("long text " * 20).strip()),
         ("<div id=comments><article class=comment><p>%s</p></article></div><p>%s</p>" % ("great text " * 30, "long text " * 20), ("long text " * 20).strip()),
+        ("<div class='post comments-open has-ads'><p>%s</p><div class='comments-area'>First!</div></div>" % ("long text " * 20), ("long text " * 20).strip()),
+        ("<article class='comments-closed'><p>Short.</p><div class='no-comments'>Still text.</div></article>", "Short.\nStill text."),
         ("<div class='x' hidden><p>%s</p></div><p>Seen.</p>" % ("long text " * 20), "Seen."),
     ],
 )
