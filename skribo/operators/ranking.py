@@ -46,7 +46,9 @@ def build(docs: DataFrame, key: str, fields: dict[str, Column], path: str) -> In
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*[c.alias(n) for n, c in fields.items()]).schema}
     split = docs.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c, kinds[n]).alias("t")) for n, c in fields.items()])).alias("f")).select(key, "f.field", "f.t")
-    rows = split.select(key, "field", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct"), F.explode("t").alias("token"))
+    # what is said of the whole list is computed before its tokens leave it, once a document
+    sized = split.select(key, "field", "t", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct"))
+    rows = sized.select(key, "field", "n", "distinct", F.explode("t").alias("token"))
     counted = rows.groupBy("token", "field", key, "n", "distinct").agg(F.count("*").cast("int").alias("tf"))
     counted.sortWithinPartitions("token", "field").write.mode("overwrite").parquet(f"{path}/postings")
     spark = docs.sparkSession
