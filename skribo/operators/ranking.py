@@ -40,12 +40,13 @@ class Index:
 def build(docs: DataFrame, key: str, fields: dict[str, Column], path: str) -> Index:
     """Writes the index of these fields (strings, or arrays of them) below the path and opens it. Null is an empty field; keys must differ."""
 
-    def tokens(value: Column, kind: str) -> Column:
+    def folded(value: Column, kind: str) -> Column:
         whole = F.array_join(value, " ") if kind.startswith("array") else value.cast("string")
-        return runs(fold(F.coalesce(whole, F.lit(""))))
+        return fold(F.coalesce(whole, F.lit("")))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*[c.alias(n) for n, c in fields.items()]).schema}
-    split = docs.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c, kinds[n]).alias("t")) for n, c in fields.items()])).alias("f")).select(key, "f.field", "f.t")
+    texts = docs.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), folded(c, kinds[n]).alias("x")) for n, c in fields.items()])).alias("f")).select(key, "f.field", "f.x")
+    split = texts.select(key, "field", runs(F.col("x")).alias("t"))
     # what is said of the whole list is computed before its tokens leave it, once a document
     sized = split.select(key, "field", "t", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("distinct"))
     rows = sized.select(key, "field", "n", "distinct", F.explode("t").alias("token"))
