@@ -13,7 +13,7 @@ from skribo.functions.text import MARKED, PLAIN
 #: Letters a title has at least, the part of a text its title must begin in, characters that must lie between
 #: two titles and be left over, and the tokens of a snippet.
 TITLE_LEAST, TITLE_WITHIN, BETWEEN, LEFT_LEAST, SNIPPET = 4, 0.85, 120, 80, 24
-_GAP = r"[^\p{L}\p{N}]*"
+_GAP, _MARK = r"[^\p{L}\p{N}]*", "\x01"
 
 
 def _alike(text: Column) -> Column:
@@ -26,11 +26,16 @@ def _letters(title: Column) -> Column:
 
 
 def place(folded: Column, title: Column, start: Column) -> Column:
-    """Where a title's letters begin, from start on, with anything but letters and digits between them; null if nowhere."""
+    """Where a title's letters begin, from start on, with anything but letters and digits between them; null if nowhere.
+
+    A sharp s is two letters, and a title may begin or end within it: it is spelt out with a mark between, which tells how much longer the text has become.
+    """
     letters = _letters(title)
-    pattern = F.replace(F.regexp_replace(letters, "(.)", "$1" + _GAP.replace("\\", "\\\\")), F.lit(f"s{_GAP}s"), F.lit(f"(?:s{_GAP}s|ß)"))
-    parts = F.split(F.substring(folded, start + 1, F.length(folded)), pattern, 2)
-    return F.when((F.length(letters) >= TITLE_LEAST) & (F.size(parts) > 1), start + F.length(parts[0]))
+    pattern = F.regexp_replace(letters, "(.)", "$1" + _GAP.replace("\\", "\\\\"))
+    spelt = F.replace(F.translate(F.substring(folded, start + 1, F.length(folded)), _MARK, " "), F.lit("ß"), F.lit(f"s{_MARK}s"))
+    parts = F.split(spelt, pattern, 2)
+    before = F.length(parts[0]) - 2 * F.length(F.regexp_replace(parts[0], f"[^{_MARK}]+", ""))
+    return F.when((F.length(letters) >= TITLE_LEAST) & (F.size(parts) > 1), start + before)
 
 
 def trimmed(rows: DataFrame, text: str, title: str, next_titles: str) -> DataFrame:

@@ -30,6 +30,12 @@ def test_trimmed(spark):
     assert made.columns[:5] == ["id", "text", "title", "next", "_extra"]
 
 
+@pytest.mark.parametrize("title, found", [("das ßlichö", 121), ("DASSSLICHO", 121), ("Sloch auf", 172), ("Rotes Schlos", 142), ("an der Straßß", 156), ("das lichö", None)])
+def test_place_of_sharp_s(spark, title, found):
+    text = F.concat(F.lit("ß\x01" * 60), F.lit(" das ßlichö, ist neu: Rotes Schloß. An der Strassß: ßloch auf"))
+    assert value(spark, bounds.place(bounds._alike(text), F.lit(title), F.lit(0))) == found
+
+
 @pytest.mark.parametrize("text, wanted", [("", None), ("none here", None), ("a Jaskyňa, b", "a [Jaskyňa,] b"), ("x " * 30 + "cave " + "y " * 30, "...[cave]" + " y" * 23 + "...")])
 def test_snippet(spark, text, wanted):
     assert bounds.window_of_hits(text, ("jask", "cave")) == wanted
