@@ -142,8 +142,10 @@ def cave_infer(t):
     number, none = i.cast("string"), F.array().cast("array<string>")
     registered = F.when(i % 4 == 0, F.array(F.concat(F.lit("Registered "), number))).otherwise(none)
     told = F.when(i % 4 == 1, F.array(F.concat(F.lit("Named "), F.col("p_size").cast("string")), F.lit("x"))).otherwise(none)
-    names, via = D.names_by_priority(registered, told, D.inferred_names(text), F.array(F.lit("Special")))
-    return t("part").select("p_partkey", F.explode(names).alias("name"), D.area_of(text, _AREAS).alias("area"), via.alias("via"))
+    found = D.names_by_priority(registered, told, D.inferred_names(text), F.array(F.lit("Special")))
+    parts = t("part")  # few bytes, but much to do for each row
+    rows = parts.repartition(parts.sparkSession.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", found.alias("found"), D.area_of(text, _AREAS).alias("area"))
+    return rows.select("p_partkey", F.explode("found.names").alias("name"), "area", "found.via")
 
 
 @query("io_prose_parse", "SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, 'Novák, J.; Kováč, P.' AS authors, 'Order ' || o_orderkey AS title, '3-5' AS pages, '2 obr.; res.' AS extras, year(o_orderdate) AS year, 'V.' AS volume, month(o_orderdate)::VARCHAR AS issue, o_orderpriority || ' note' AS abstract FROM orders")

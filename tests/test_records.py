@@ -75,6 +75,13 @@ def test_inflected(spark):
     assert hits == [True, False, True] and value(spark, D.inflected(F.lit("!"))) is None
 
 
+def test_names_are_computed_once(spark):
+    """The pattern that refuses names stands in the plan for the told ones, the ones after and before a head, and those with their head put before."""
+    text, none = F.col("t"), F.array().cast("array<string>")
+    found = spark.createDataFrame([("v jaskyni Domica mala",)], "t string").select(D.names_by_priority(none, F.array(text), D.inferred_names(text), none).alias("f")).select("f.*")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("naj(?:dlh|hlb)") <= 8
+
+
 def test_inferred_names(spark):
     found = value(spark, D.inferred_names(F.lit("Prieskum v jaskyni Domica a okolie. Veľká Stanišovská jaskyňa bola. Priepasť Diviačia; jaskyňa Akcie"), generic=("akcie",)))
     assert {"Jaskyňa Domica", "Veľká Stanišovská jaskyňa", "Priepasť Diviačia"} <= set(found) and not any("Akcie" in x for x in found)
