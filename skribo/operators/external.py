@@ -9,19 +9,20 @@ from __future__ import annotations
 import os
 import subprocess
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skribo.operators.harvest import json_object
 
 
-def _run(command: list[str], content: bytes, timeout: float, cpu: int | None) -> tuple[str | None, str]:
-    pinned = (lambda: os.sched_setaffinity(0, {sorted(os.sched_getaffinity(0))[cpu % len(os.sched_getaffinity(0))]})) if cpu is not None else None
+def _run(command: list[str], content: bytes, timeout: float) -> tuple[str | None, str]:
     try:
-        done = subprocess.run(command, input=content, capture_output=True, timeout=timeout, check=False, preexec_fn=pinned)
+        done = subprocess.run(command, input=content, capture_output=True, timeout=timeout, check=False)
     except subprocess.TimeoutExpired:
         return None, "timeout"
     except OSError as e:
@@ -29,16 +30,31 @@ def _run(command: list[str], content: bytes, timeout: float, cpu: int | None) ->
     return (done.stdout.decode("utf-8", "replace"), "ok") if done.returncode == 0 else (None, f"failed: {done.returncode}")
 
 
+@contextmanager
+def _on_one_processor(pinned: bool, nth: int) -> Iterator[None]:
+    """The calling thread, and so the programs that it starts, on one of the processors it may use; that keeps each start from copying the worker, as code run in the child would."""
+    allowed = os.sched_getaffinity(0)
+    if pinned:
+        os.sched_setaffinity(0, {sorted(allowed)[nth % len(allowed)]})
+    try:
+        yield
+    finally:
+        os.sched_setaffinity(0, allowed)
+
+
 def read_by_program(files: DataFrame, key: list[str], content: str, command: list[str], timeout: float = 60, cpu: int | None = None) -> DataFrame:
     """key, text, status (ok, empty_text, timeout, failed: why) of what a command makes of each file's bytes. Null contents are missing files.
 
-    A text extractor (pdftotext - -) reads whole files, an OCR program (tesseract stdin stdout) a picture of a page in each row. cpu pins the program to one processor.
+    A text extractor (pdftotext - -) reads whole files, an OCR program (tesseract stdin stdout) a picture of a page in each row. With cpu a program has one
+    processor: that one in the first partition, the next one in the next, so that tasks which run together don't wait for each other.
     """
     kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in key)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nth = (cpu or 0) + TaskContext.get().partitionId()
         for b in batches:
-            found = [(None, "failed: missing file") if c is None else _run(command, bytes(c), timeout, cpu) for c in b["_content"]]
+            with _on_one_processor(cpu is not None, nth):
+                found = [(None, "failed: missing file") if c is None else _run(command, bytes(c), timeout) for c in b["_content"]]
             status = ["empty_text" if s == "ok" and not t.strip() else s for t, s in found]
             yield b[key].assign(text=[t for t, _ in found], status=status)
 

@@ -1,5 +1,7 @@
 """Functions and operators on articles: the cases that the test tables don't show."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,13 @@ def test_fold_keeps_sharp_s(spark):
     assert value(spark, X.fold(F.lit("Straße ŁÓDŹ")))[:7] == "strasse"
 
 
+def test_programs_of_tasks_have_processors_of_their_own(spark):
+    rows = spark.range(8).repartition(4).select("id", F.encode(F.lit(""), "UTF-8").alias("c"))
+    read = external.read_by_program(rows, ["id"], "c", ["grep", "Cpus_allowed_list", "/proc/self/status"], cpu=0).collect()
+    used = {r.text.split()[1] for r in read}
+    assert all(u.isdigit() for u in used) and (len(used) > 1 or len(os.sched_getaffinity(0)) == 1)
+
+
 def test_programs_that_fail(spark):
     rows = spark.createDataFrame([(1, b"a\fb\f"), (2, None), (3, b"")], "id long, c binary")
     read = external.read_by_program(rows, ["id"], "c", ["cat"]).orderBy("id").collect()
