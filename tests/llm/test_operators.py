@@ -1,7 +1,9 @@
 """Each operator against its plain version, on odd texts and on a whole small table."""
 
 import hashlib
+import pathlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -264,6 +266,33 @@ def test_near_copies_go(spark):
     same([(i,) for i in kept], [(k,) for k in range(60)] + [(None,), (None,), (5000,)])
 
 
+def test_fingerprint_links_join_nodes(spark):
+    """Equal fingerprints and those within 3 bits, by way of pigeonhole blocks, before any shingles meet."""
+    rng = random.Random(5)
+    fps = [rng.getrandbits(63) for _ in range(40)]
+    fps += [fps[k] ^ (1 << k) ^ (1 << k + 9) ^ (1 << 62) for k in range(20)] + fps[:10] + [fps[k] ^ 0b1111 << k for k in range(20, 30)]
+    found = simhash.fingerprint_links(spark.createDataFrame(list(enumerate(fps)), "node long, fp long")).collect()
+    linked = {frozenset((r.u, r.v)) for r in found}
+    assert linked == {frozenset((k, 40 + k)) for k in range(20)} | {frozenset((k, 60 + k)) for k in range(10)}
+
+
+@pytest.mark.parametrize("make", [suffix_dedup.without_repeats, simhash.copies])
+def test_shuffles_of_finished_steps_go(spark, make):
+    """What is on disk when the last step begins: before, the shuffle files of all steps until the driver's garbage was collected by chance."""
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data") if f.exists() and f.stat().st_size > 1000}  # noqa: E731 - counts take less
+    common.released(spark)
+    time.sleep(3)
+    before, rng = held(), random.Random(6)
+    docs = frame(spark, [(k, " ".join(f"w{rng.randrange(99)}" for _ in range(60)), "a") for k in range(40)])
+    left = make(docs)
+    for _ in range(20):
+        if not (more := held() - before):
+            break
+        time.sleep(0.5)
+    assert left is not None and not more
+
+
 @pytest.mark.parametrize("few", [common.BROADCAST_IDS, 0])
 def test_near_dedup_tells_texts_of_an_id_apart(spark, monkeypatch, few):
     monkeypatch.setattr(common, "BROADCAST_IDS", few)
