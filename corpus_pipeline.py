@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skribo.llm import decontaminate, mixing, ordinal_quality, simhash, suffix_dedup
-from skribo.llm.common import read, shared_folder
+from skribo.llm.common import read, released, removed, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,14 +61,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/stages/{uuid.uuid4().hex}"
-            docs.write.parquet(path)
+            docs, path = stored(docs)
             if before:
-                _remove(spark, before)
-            docs, before = spark.read.parquet(path), path
+                removed(spark, before)
+            before = path
+            released(spark)
     return docs
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)

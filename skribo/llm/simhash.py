@@ -8,7 +8,7 @@ meet are linked by a search that takes each fingerprint once and compares it wit
 as a tree, not as all of its pairs. Components follow by contracting the trees' edges, a few rounds of joins.
 
 one_of_each drops near copies by similarity of their sets of shingles. Two sets of similarity 0.8 may differ in 15 % of a fingerprint's
-bits, too many for blocks of bits; so sets meet under the first shingles of each in a common order, common shingles last, of which two such
+bits, too many for blocks of bits; so those that blocks of bits link are verified first, and beyond them sets meet under the first shingles of each in a common order, common shingles last, of which two such
 sets share one. Fingerprints tell which of those that meet is the closest to each: that link is verified by the texts first, and
 the few pairs that are not connected by then follow.
 """
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skribo.llm.common import checkpointed, join_uneven, repeated_ids
+from skribo.llm.common import checkpointed, join_uneven, released, removed, repeated_ids, stored
 
 #: Words of a shingle, bits in which linked fingerprints may differ, seed of the hash.
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -375,22 +375,25 @@ def _prints(rows: DataFrame, size: int, common: np.ndarray) -> DataFrame:
     return rows.select("id", "text").mapInArrow(lambda batches: _prefixes(size, ranks, batches), "id long, name binary, n int, fp long, prefix binary")
 
 
-def _sharing(nodes: DataFrame, texts: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """key, node, at, n, hub, apart: of nodes (node, n, fp, prefix) the first shingles that others have too.
+def _sharing(nodes: DataFrame, texts: DataFrame, size: int, common: np.ndarray) -> tuple[DataFrame, str]:
+    """key, node, at, n, hub, apart: of nodes (node, n, fp, prefix) the first shingles that others have too; and where they are stored.
 
     A first shingle of more than CROWDED sets is common, whatever the sample said, and the sets are ordered anew.
     """
 
-    def shared(nodes: DataFrame) -> DataFrame:
+    def shared(nodes: DataFrame) -> tuple[DataFrame, str]:
         keys = nodes.select("node", "n", "fp", "prefix").mapInArrow(_placed, "key long, node long, at int, n int, fp long")
-        return checkpointed(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, at int, n int, hub long, apart byte"))
+        return stored(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, at int, n int, hub long, apart byte"))
 
-    found = shared(nodes)
+    found, path = shared(nodes)
     crowded = found.groupBy("key").count().where(F.col("count") > CROWDED).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()
     if not crowded:
-        return found
+        return found, path
+    removed(texts.sparkSession, path)
+    released(texts.sparkSession)
     more = np.array([r["key"] for r in crowded], np.int64).view(np.uint64)
-    anew = _prints(texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), size, np.concatenate([more, common[~np.isin(common, more)]]))
+    anew = _prints(texts, size, np.concatenate([more, common[~np.isin(common, more)]]))  # from the texts where they are; what is shuffled is their first shingles
+    anew = anew.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     return shared(anew.withColumnRenamed("id", "node"))
 
 
@@ -398,10 +401,12 @@ def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataF
     """doc_id, same (a hash of the text), node (the least number of a text with that set of shingles) of every document; u, v: pairs of nodes whose sets
     have similarity NEAR at least, which connect all that such pairs connect.
 
-    A text's number is its id, or a hash of id and text where an id is repeated. Two sets of similarity NEAR share one of the first
-    shingles of each, whatever the order, so nothing is missed: each is compared with the closest, by fingerprint, of the least ones that have
-    one of its shingles, then with all others that are not in its component by then. Every link is verified by the texts.
+    A text's number is its id, or a hash of id and text where an id is repeated. Sets whose fingerprints differ in at most DISTANCE bits are linked by pigeonhole blocks,
+    as in near_duplicates. That is not all: two sets of similarity NEAR share one of the first shingles of each, whatever the order, so nothing is missed if each is
+    compared with the closest, by fingerprint, of the least ones that have one of its shingles, then with all others that are not in its component by then.
+    Every link is verified by the texts. What a step leaves on disk goes before the next one.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     again = repeated_ids(docs)
     if again is None:
@@ -409,26 +414,49 @@ def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataF
     else:
         rows = rows.join(F.broadcast(again), F.col("doc_id") == F.col("again"), "left").withColumn("id", F.when(F.col("again").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "same"))).drop("again")
     common = common_shingles(rows, size)
-    prints = checkpointed(_prints(rows, size, common))
-    nodes = prints.groupBy("name").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
-    member = join_uneven(prints.select("id", "name"), nodes.select("name", "node", "rows"), "name", "rows", prints.count())
+    prints, prints_path = stored(_prints(rows, size, common))
+    least = prints.groupBy("name").agg(F.min("id").alias("node"), F.count("*").alias("rows"))
+    member, _ = stored(join_uneven(prints.select("id", "name"), least, "name", "rows", prints.count()).select("id", "node").distinct())
+    released(spark)
+    # A text's shingles are those of every other row of its number, so one row of each node tells all of it.
+    nodes = prints.join(member.where("id = node").select("node"), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "node")
+    fps = checkpointed(nodes.select("node", "fp"))
     texts = rows.select("id", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         for x in ("u", "v"):
             pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")), x)
-        return checkpointed(pairs.mapInArrow(lambda batches: _verified(size, batches), "u long, v long").distinct())
+        found = checkpointed(pairs.mapInArrow(lambda batches: _verified(size, batches), "u long, v long").distinct())
+        released(spark)
+        return found
 
-    shared = _sharing(nodes, texts, size, common)
+    shared, shared_path = _sharing(nodes, texts, size, common)
+    removed(spark, prints_path)
+    released(spark)
+    linked = fingerprint_links(fps)
     closest = shared.where("hub <> node").groupBy(F.col("node").alias("v")).agg(F.min(F.struct("apart", "hub")).alias("m")).select(F.col("m.hub").alias("u"), "v")
-    near = verified(closest)
+    tried = checkpointed(linked.unionByName(closest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    released(spark)
+    near = verified(tried)
     rooted = shared.drop("hub", "apart").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     crossing = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "u long, v long")
-    near = near.unionByName(verified(crossing.where("u <> v").distinct().join(closest, ["u", "v"], "left_anti")))
-    own = rows.select("doc_id", "same", "id").join(member.select("id", "node").distinct(), "id")
+    crossing = checkpointed(crossing.where("u <> v").distinct().join(tried, ["u", "v"], "left_anti"))
+    removed(spark, shared_path)
+    released(spark)
+    near = near.unionByName(verified(crossing))
+    own = rows.select("doc_id", "same", "id").join(member, "id")
     return own.select("doc_id", "same", "node"), near
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """u, v: pairs of nodes (node, fp) whose fingerprints are equal or linked, a tree for each group of them."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("rows"))
+    equal = join_uneven(nodes, least, "fp", "rows", nodes.count()).where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    named = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"node_{x}"))
+    apart = links(nodes.select("fp").distinct()).distinct().join(named("u"), "u").join(named("v"), "v")
+    return equal.unionByName(apart.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
+
+
 def copies(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
     """doc_id, same, root: each document that is a copy or near copy of one with a smaller id (of equal ids, a smaller hash of the text), and the smallest id of its group.
 
@@ -436,6 +464,7 @@ def copies(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
     """
     member, edges = similar(docs, size)
     member = checkpointed(member.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
+    released(docs.sparkSession)
     groups = member.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("first"), F.count("*").alias("rows"))
     named = join_uneven(member, groups, "root", "rows", member.count())
     return named.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("same") != F.col("first.same"))).select("doc_id", "same", F.col("first.doc_id").alias("root")).distinct()
@@ -446,6 +475,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id and a text stay or go together; those that repeat an id alone are different documents. No id: the row stays.
     """
-    gone = copies(docs).select(F.col("doc_id").alias("gone_id"), F.col("same").alias("gone_same"))
+    gone = checkpointed(copies(docs).select(F.col("doc_id").alias("gone_id"), F.col("same").alias("gone_same")))
+    released(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_same"))
     return rows.join(gone, (F.col("row_id") == F.col("gone_id")) & (F.col("row_same") == F.col("gone_same")), "left_anti").select("row.*")
