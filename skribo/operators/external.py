@@ -1,13 +1,15 @@
 """What the outside is asked: programs that read files, models that answer, pictures, state of runs, reports of readers.
 
 Programs and models are parameters: a command that reads a file from its standard input and writes text, a function that takes a prompt. A file that fails or takes
-too long is a status in its row and stops no other; nothing is written to a worker's disk.
+too long, each time that it is tried, is a status in its row and stops no other; nothing is written to a worker's disk.
 """
 
 from __future__ import annotations
 
+import errno
 import os
 import subprocess
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -20,14 +22,30 @@ from pyspark.sql import functions as F
 from skribo.operators.harvest import json_object
 
 
+#: How often a program is started that ends for a reason which may pass, and what a start that fails for such a reason says.
+STARTS, PASSING = 3, (errno.EAGAIN, errno.ENOMEM, errno.EMFILE, errno.ENFILE, errno.EINTR, errno.ETXTBSY)
+
+
 def _run(command: list[str], content: bytes, timeout: float) -> tuple[str | None, str]:
+    """A program that was killed, took too long or found no room to start is started again; one that ends by itself is not."""
+    for k in range(STARTS):
+        text, status, passing = _once(command, content, timeout)
+        if not passing:
+            break
+        if k < STARTS - 1:
+            time.sleep(0.1 * 4**k)
+    return text, status
+
+
+def _once(command: list[str], content: bytes, timeout: float) -> tuple[str | None, str, bool]:
+    """Text, status, and whether another start may tell more."""
     try:
         done = subprocess.run(command, input=content, capture_output=True, timeout=timeout, check=False)
     except subprocess.TimeoutExpired:
-        return None, "timeout"
+        return None, "timeout", True
     except OSError as e:
-        return None, f"failed: {e.strerror}"
-    return (done.stdout.decode("utf-8", "replace"), "ok") if done.returncode == 0 else (None, f"failed: {done.returncode}")
+        return None, f"failed: {e.strerror}", e.errno in PASSING
+    return (done.stdout.decode("utf-8", "replace"), "ok", False) if done.returncode == 0 else (None, f"failed: {done.returncode}", done.returncode < 0)
 
 
 @contextmanager
