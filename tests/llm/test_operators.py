@@ -293,6 +293,20 @@ def test_shuffles_of_finished_steps_go(spark, make):
     assert left is not None and not more
 
 
+def test_second_round_goes_in_shares(spark, monkeypatch):
+    """Each window in doubt is in one share, and a share's shuffle files go before the next one; before, all windows lay on disk together."""
+    import pyarrow as pa
+
+    text = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz", k=4000))
+    batch = pa.RecordBatch.from_pylist([{"id": 1, "hash": 0, "text": text.encode(), "doubt": [3000]}], pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()), ("doubt", pa.list_(pa.int64()))]))
+    names = lambda nth: [k for b in suffix_dedup._second_round(100, 4, iter([batch]), nth) for r in b.column("rows") for k in suffix_dedup._unpack(r.as_py(), suffix_dedup._WINDOW)[0]]
+    shares = [names(k) for k in range(suffix_dedup.SLICES)]
+    assert sorted(sum(shares, [])) == sorted(names(None)) and max(map(len, shares)) < 1200
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "released", seen.append)
+    assert len(suffix_dedup.without_repeats(frame(spark, [(k, text[9 * k :], "a") for k in range(9)])).collect()) == 9 and len(seen) == 1 + suffix_dedup.SLICES
+
+
 @pytest.mark.parametrize("few", [common.BROADCAST_IDS, 0])
 def test_near_dedup_tells_texts_of_an_id_apart(spark, monkeypatch, few):
     monkeypatch.setattr(common, "BROADCAST_IDS", few)
