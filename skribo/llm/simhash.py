@@ -40,8 +40,8 @@ NEAR_SHINGLE, NEAR = 5, (4, 5)
 COUNTED, COMMON, MOST_COMMON = 1 << 14, 3, 50_000
 #: Sets that share a first shingle from which on it is common too, counted in all documents.
 CROWDED = 1 << 12
-#: Pairs yielded together; texts whose shingles a task keeps.
-_PAIRS, _KEPT = 1 << 18, 1 << 12
+#: Pairs yielded together, pairs whose counts are compared together; texts whose shingles a task keeps.
+_PAIRS, _COMPARED, _KEPT = 1 << 18, 1 << 12, 1 << 12
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -239,6 +239,31 @@ def _possible(n_u: np.ndarray, at_u: np.ndarray, n_v: np.ndarray, at_v: np.ndarr
     return np.minimum(n_u - at_u, n_v - at_v) * (NEAR[0] + NEAR[1]) >= NEAR[0] * (n_u + n_v)
 
 
+def counts_of(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles have each value of their highest bits, 32 to 1024 values by the set's size; 255 stands for more."""
+    bits = min(max((len(shingles) // 8).bit_length(), 5), 10)
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _near_counts(u: list[bytes], n_u: np.ndarray, v: list[bytes], n_v: np.ndarray) -> np.ndarray:
+    """Whether sets of these counts and sizes can be alike, pair by pair: they differ in as many shingles at least as their counts do, alike ones in a ninth of both sizes at most."""
+    width = np.array([[len(x), len(y)] for x, y in zip(u, v, strict=True)], np.int64).reshape(-1, 2)
+    both, near = n_u.astype(np.int64) + n_v, np.zeros(len(width), bool)
+    for a, b in np.unique(width, axis=0):
+        rows = np.flatnonzero((width == (a, b)).all(1))
+        for part in (rows[k : k + _COMPARED] for k in range(0, len(rows), _COMPARED)):
+            x, y = (np.frombuffer(b"".join(c[i] for i in part), np.uint8).reshape(len(part), min(a, b), -1).sum(2, dtype=np.int64) for c in (u, v))
+            near[part] = (NEAR[0] + NEAR[1]) * np.abs(x - y).sum(1) <= (NEAR[1] - NEAR[0]) * both[part]
+    return near
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that can be alike by their counts."""
+    for batch in batches:
+        near = _near_counts(*(batch.column(c).to_pylist() if c.startswith("counts") else batch.column(c).to_numpy() for c in ("counts_u", "n_u", "counts_v", "n_v")))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+
 def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py() or b"", size) for t in batch.column("text")]
@@ -248,25 +273,26 @@ def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _prefixes(size: int, common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, a name of the set of shingles, its size and fingerprint, and as many of the first in the order as two alike sets must share one of.
+    """key, a name of the set of shingles, its size, fingerprint and counts, and as many of the first in the order as two alike sets must share one of.
 
     common: sorted shingles and their ranks, in two rows. They come last, by rank; the others are ordered by hash.
     """
     for batch in batches:
-        names, sizes, prints, prefixes = [], [], [], []
+        names, sizes, prints, counts, prefixes = [], [], [], [], []
         for t in batch.column("text"):
             x = shingle_set(t.as_py() or b"", size)
             n = len(x)
             names.append(xxhash.xxh3_128_digest(x.tobytes()))
             sizes.append(n)
             prints.append(bits_of(x))
+            counts.append(counts_of(x))
             if common.shape[1]:
                 at = np.minimum(np.searchsorted(common[0], x), common.shape[1] - 1)
                 last = common[0][at] == x
                 x = np.concatenate([x[~last], x[last][np.argsort(common[1][at[last]])]])
             prefixes.append(x[: n + NEAR[0] * n // -NEAR[1] + 1].tobytes())
-        made = pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "name", "n", "fp", "prefix"])
+        made = pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(counts, pa.binary()), pa.array(prefixes, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "name", "n", "fp", "counts", "prefix"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +319,7 @@ def _whole_keys(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> It
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch.column(n).to_numpy() for n in names]
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
         key = columns[0]
         cut = int(np.searchsorted(key, key[-1]))  # rows of the last key may go on in the next batch
         if cut or held and held[0][0][0] != key[0]:
@@ -316,27 +342,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v: nodes that share a key, can be alike and are not in one component yet."""
+    """u, v: nodes that share a key, can be alike, by their counts too, and are not in one component yet."""
 
     def sent(found: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
+    def likely(met: list[np.ndarray], node: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        u, v = np.concatenate(met, axis=1)
+        near = _near_counts(list(counts[u]), n[u], list(counts[v]), n[v])
+        return np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])])[:, near]
+
     held, n_held = [], 0
-    for (_, node, at, n, root), starts, ends in _whole_keys(("key", "node", "at", "n", "root"), batches):
+    for (_, node, at, n, root, counts), starts, ends in _whole_keys(("key", "node", "at", "n", "root", "counts"), batches):
         n = n.astype(np.int64)
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        met, n_met = [], 0
         for s, e in zip(starts[mixed], ends[mixed], strict=True):
             for k in range(s, e - 1):
                 rest = slice(k + 1, e)
-                other = node[rest][(root[rest] != root[k]) & _possible(n[k], at[k], n[rest], at[rest])]
+                other = k + 1 + np.flatnonzero((root[rest] != root[k]) & _possible(n[k], at[k], n[rest], at[rest]))
                 if len(other):
-                    held.append(np.stack([np.minimum(other, node[k]), np.maximum(other, node[k])]))
-                    n_held += len(other)
-                if n_held >= _PAIRS:
-                    yield sent(held)
-                    held, n_held = [], 0
-    if held:
+                    met.append(np.stack([np.full(len(other), k), other]))
+                    n_met += len(other)
+                if n_met >= _PAIRS:
+                    held.append(likely(met, node, n, counts))
+                    n_held, met, n_met = n_held + held[-1].shape[1], [], 0
+        if met:
+            held.append(likely(met, node, n, counts))
+            n_held += held[-1].shape[1]
+        if n_held >= _PAIRS:
+            yield sent(held)
+            held, n_held = [], 0
+    if n_held:
         yield sent(held)
 
 
@@ -372,7 +410,7 @@ def _ranks(common: np.ndarray) -> np.ndarray:
 
 def _prints(rows: DataFrame, size: int, common: np.ndarray) -> DataFrame:
     ranks = _ranks(common)
-    return rows.select("id", "text").mapInArrow(lambda batches: _prefixes(size, ranks, batches), "id long, name binary, n int, fp long, prefix binary")
+    return rows.select("id", "text").mapInArrow(lambda batches: _prefixes(size, ranks, batches), "id long, name binary, n int, fp long, counts binary, prefix binary")
 
 
 def _sharing(nodes: DataFrame, texts: DataFrame, size: int, common: np.ndarray) -> tuple[DataFrame, str]:
@@ -404,7 +442,8 @@ def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataF
     A text's number is its id, or a hash of id and text where an id is repeated. Sets whose fingerprints differ in at most DISTANCE bits are linked by pigeonhole blocks,
     as in near_duplicates. That is not all: two sets of similarity NEAR share one of the first shingles of each, whatever the order, so nothing is missed if each is
     compared with the closest, by fingerprint, of the least ones that have one of its shingles, then with all others that are not in its component by then.
-    Every link is verified by the texts. What a step leaves on disk goes before the next one.
+    Every link is verified by the texts; pairs that differ too much by counts of their shingles, which tell the least that they differ, are not compared, so texts that share
+    a passage alone don't bring their texts along. What a step leaves on disk goes before the next one.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
@@ -420,7 +459,7 @@ def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataF
     released(spark)
     # A text's shingles are those of every other row of its number, so one row of each node tells all of it.
     nodes = prints.join(member.where("id = node").select("node"), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "node")
-    fps = checkpointed(nodes.select("node", "fp"))
+    fps = checkpointed(nodes.select("node", "n", "fp", "counts"))
     texts = rows.select("id", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -433,12 +472,15 @@ def similar(docs: DataFrame, size: int = NEAR_SHINGLE) -> tuple[DataFrame, DataF
     shared, shared_path = _sharing(nodes, texts, size, common)
     removed(spark, prints_path)
     released(spark)
-    linked = fingerprint_links(fps)
+    linked = fingerprint_links(fps.select("node", "fp"))
     closest = shared.where("hub <> node").groupBy(F.col("node").alias("v")).agg(F.min(F.struct("apart", "hub")).alias("m")).select(F.col("m.hub").alias("u"), "v")
     tried = checkpointed(linked.unionByName(closest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     released(spark)
-    near = verified(tried)
-    rooted = shared.drop("hub", "apart").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    likely = tried
+    for x in ("u", "v"):
+        likely = likely.join(fps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")), x)
+    near = verified(likely.mapInArrow(_likely, "u long, v long"))
+    rooted = shared.drop("hub", "apart").join(components(near), "node", "left").join(fps.select("node", "counts"), "node").withColumn("root", F.coalesce("root", "node"))
     crossing = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "u long, v long")
     crossing = checkpointed(crossing.where("u <> v").distinct().join(tried, ["u", "v"], "left_anti"))
     removed(spark, shared_path)

@@ -266,6 +266,26 @@ def test_near_copies_go(spark):
     same([(i,) for i in kept], [(k,) for k in range(60)] + [(None,), (None,), (5000,)])
 
 
+def test_pairs_that_share_a_passage_are_not_compared():
+    """Their counts tell that they are not alike, which no alike pair's do; before, all pairs under a key went on with their texts."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    sets = []
+    for k in range(120):
+        n = rng.choice([20, 100, 700, 3000, 9000])
+        own = {rng.getrandbits(64) for _ in range(n)}
+        near = set(rng.sample(sorted(own), n - n // 10)) | {rng.getrandbits(64) for _ in range(rng.choice([0, n // 10 - 2]))}
+        sets += [np.array(sorted({7, *x}), np.uint64) for x in (own, near)]
+    n, m = np.array([len(x) for x in sets], np.int32), len(sets)
+    counts = [simhash.counts_of(x) for x in sets]
+    alike = {(a, b) for a in range(m) for b in range(a + 1, m) if simhash._alike(sets[a], sets[b])}
+    columns = np.full(m, 7), np.arange(m), np.zeros(m, np.int32), n, np.arange(m), pa.array(counts, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "at", "n", "root", "counts"])
+    found = {(r["u"], r["v"]) for b in simhash._crossing(iter([batch])) for r in b.to_pylist()}
+    assert len(alike) == 120 and alike <= found and len(found) < 140
+
+
 def test_fingerprint_links_join_nodes(spark):
     """Equal fingerprints and those within 3 bits, by way of pigeonhole blocks, before any shingles meet."""
     rng = random.Random(5)
